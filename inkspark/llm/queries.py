@@ -5,14 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ._spark import prepare, table
+from .line_dedup import dedup_lines
+from .ngram_join import ngram_classes
 from .quality import quality_verdicts
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document (see :mod:`inkspark.llm.ngram_join`)."""
+    return ngram_classes(table(prepare(spark), sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its cross-site lines (see :mod:`inkspark.llm.line_dedup`)."""
+    docs = table(prepare(spark), sf_dir, "documents")
+    return dedup_lines(docs).select("doc_id", "text", "__removed").withColumnRenamed("__removed", "n_removed")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdicts of every document (see :mod:`inkspark.llm.quality`)."""
     return quality_verdicts(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+QUERIES = {f.__name__: f for f in (op5_ngram_jaccard_join, op8_line_dedup, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
