@@ -15,7 +15,6 @@ input are not returned.
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -77,45 +76,29 @@ def _double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.n
                 children.append({})
             node = children[node][c]
         ends[node] = number
-    size = 4 * len(children) + 512
-    base, check, value = [0] * size, [-1] * size, [-1] * size
-    slot = {0: 0}
-    check[0] = 0
-    low, crowded = 1, 1
-    for node in range(len(children)):
-        own = children[node]
-        s = slot[node]
-        value[s] = ends.get(node, -1)
+    used = 1  # bit set of taken slots
+    slot, base_of, check_of = {0: 0}, {}, {0: 0}
+    for node, own in enumerate(children):
         if not own:
             continue
-        codes = sorted(own)
-        begin = low
-        for tries in itertools.count():
-            if tries == 64:  # a crowded region: go on where few slots are taken
-                crowded = begin = max(crowded, low)
-            elif tries and tries % 64 == 0:
-                crowded += 64
-                begin = max(begin, crowded)
-            while begin < len(check) and check[begin] >= 0:
-                begin += 1
-            b = max(0, begin - codes[0] - 1)
-            top = b + codes[-1] + 2
-            if top >= len(check):
-                grow = top + 4096 - len(check)
-                base += [0] * grow
-                check += [-1] * grow
-                value += [-1] * grow
-            if all(check[b + c + 1] < 0 for c in codes):
-                break
-            begin = b + codes[0] + 2
-        base[s] = b
-        for c in codes:
-            check[b + c + 1] = s
-            slot[own[c]] = b + c + 1
-        while low < len(check) and check[low] >= 0:
-            low += 1
+        taken = 0
+        for c in own:
+            taken |= used >> (c + 1)
+        b = (~taken & (taken + 1)).bit_length() - 1  # the first offset at which all children find a free slot
+        base_of[slot[node]] = b
+        mark = 0
+        for c, child in own.items():
+            slot[child] = b + c + 1
+            check_of[b + c + 1] = slot[node]
+            mark |= 1 << (c + 1)
+        used |= mark << b
     n = max(slot.values()) + 258
-    return np.array(base[:n], np.int32), np.array((check + [-1] * 258)[:n], np.int32), np.array((value + [-1] * 258)[:n], np.int32)
+    base, check, value = np.zeros(n, np.int32), np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+    base[list(base_of)] = list(base_of.values())
+    check[list(check_of)] = list(check_of.values())
+    for node, number in ends.items():
+        value[slot[node]] = number
+    return base, check, value
 
 
 class Codec:
@@ -124,7 +107,6 @@ class Codec:
     def __init__(self, model: PieceModel, cache: int = 400_000):
         self.model, self.limit = model, cache
         self.base, self.check, self.value = model.base.tolist(), model.check.tolist(), model.value.tolist()
-        self.base += [0] * (len(self.check) - len(self.base))
         self.known: dict[str, tuple[int, ...]] = {}
         self.out = [p.replace(MARK, " ").encode() for p in model.pieces]
         for b, i in enumerate(model.byte_ids):
