@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import text
+from . import cells, documents, text
 
-QUERIES = {**text.QUERIES}
-ORACLES = {**text.ORACLES}
+QUERIES = {**text.QUERIES, **cells.QUERIES, **documents.QUERIES}
+ORACLES = {**text.ORACLES, **cells.ORACLES, **documents.ORACLES}

@@ -46,7 +46,7 @@ _COUNTS = f"SELECT doc_id, lang, CAST(sum(len(p) - 1) AS BIGINT) AS n_hits FROM
 QUERIES = {"doc_lines": doc_lines, "search_hits": search_hits, "search_counts": search_counts, "search_top_documents": search_top_documents}
 ORACLES = {
     "doc_lines": f"SELECT doc_id, line, CAST(strlen(line_text) AS BIGINT) AS n_bytes, line_text FROM ({_LINES})",
-    "search_hits": f"""SELECT doc_id, line, hit, CAST(list_sum(list_transform(p[1:hit + 1], x -> strlen(x))) + 3 * hit AS BIGINT) AS col
+    "search_hits": f"""SELECT doc_id, line, hit, CAST(list_sum(list_transform(p[1:hit + 1], lambda x: strlen(x))) + 3 * hit AS BIGINT) AS col
         FROM (SELECT doc_id, line, p, unnest(range(len(p) - 1)) AS hit FROM ({_PIECES}) WHERE len(p) > 1)""",
     "search_counts": _COUNTS,
     "search_top_documents": f"SELECT * FROM ({_COUNTS}) ORDER BY n_hits DESC, doc_id LIMIT 20",
