@@ -14,7 +14,8 @@ its one shingle; a text without words has none and is linked with nothing.  Two
    first member.  Entries (and groups) whose members then lie in one component need no more work; for the rest, the pairs
    across components that were not yet compared are verified.  So no entry emits all of its pairs, and no link between
    different components is missed.
-5. Verification intersects whole sets.  Links become components by alternating stars.
+5. A pair's sets may differ in a ninth of their sizes' sum; pairs whose slices (a sixth of the hashes) differ by more are
+   put aside at once.  For the others whole sets are intersected.  Links become components by alternating stars.
 
 Frequent shingles that a prefix still holds have their entries built by DataFrame aggregation, so an entry with a third of
 all texts never meets in one task.
@@ -40,6 +41,7 @@ from ._spark import cut, prepare, staged, tidy
 from .components import connected_components
 
 _U64, _U32, _I64 = np.uint64, np.uint32, np.int64
+SLICES = 6
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,7 @@ class JoinParams:
     frequent: int = 200_000  # shingles put last in the order: a broadcast of 12 bytes each
     frequent_from: int = 16  # in how many texts a shingle must be to count as frequent
     range_bytes: int = 64 << 20  # text per range of the index
+    broadcast_ids: int = 1_000_000  # most ids that are broadcast to pick texts; more go by a shuffle
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -59,17 +62,21 @@ def _node(sets: np.ndarray) -> int:
 
 
 def shingle_classes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, n, node) per row; rows with equal sets share a node, which is null for an empty set."""
+    """(id, n, node, slice) per row; rows with equal sets share a node, which is null for an empty set.
+
+    The slice has 32 bits of every shingle whose hash is divisible by ``SLICES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node = [], []
+            n, node, part = [], [], []
             for _, s in shingle_sets(batch.column(1)):
                 n.append(len(s))
                 node.append(_node(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["id", "n", "node"])
+                part.append(np.unique((s[s % _U64(SLICES) == 0] >> _U64(32)).astype(_U32)).tobytes())
+            columns = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(part, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "node", "slice"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, node long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, node long, slice binary")
 
 
 def _frequent(docs: DataFrame, text: str, ranges: int, params: JoinParams) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +247,24 @@ def _expand(rows: DataFrame, names: list[str], schema: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, id_col: str, text: str, wanted: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, slices: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose slices differ by no more than the whole sets may: a cheap test that loses no link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, nx, ny in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
+                both = np.concatenate((np.frombuffer(x.as_buffer(), _U32), np.frombuffer(y.as_buffer(), _U32)))
+                both.sort(kind="stable")
+                unlike = len(both) - 2 * int(np.count_nonzero(both[1:] == both[:-1]))
+                keep.append(unlike * (100 + percent) <= (nx.as_py() + ny.as_py()) * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = slices.toDF("a", "x", "nx"), slices.toDF("b", "y", "ny")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(run, "a long, b long").distinct()
+
+
+def _sets(docs: DataFrame, id_col: str, text: str, wanted: DataFrame, limit: int) -> DataFrame:
     """(node, held) of the wanted classes, from the text of one document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +273,9 @@ def _sets(docs: DataFrame, id_col: str, text: str, wanted: DataFrame) -> DataFra
             keep = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in keep], pa.int64()), pa.array([s.tobytes() for s in keep], pa.binary())], ["node", "held"])
 
-    ids = wanted.select(F.col("first").alias("__first"))
+    ids = cut(wanted.select(F.col("first").alias("__first")).distinct())
+    if ids.count() <= limit:
+        ids = F.broadcast(ids)
     own = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text).alias("text"))
     return own.join(ids, F.col("__id") == F.col("__first"), "left_semi").select("text").mapInArrow(run, "node long, held binary")
 
@@ -301,16 +327,20 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first_pairs = cut(ordered(star.union(inner)))
 
-    # Sets of every class that stands in some entry or shares its group.
-    met = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("entry")
-    in_entry = entries.join(met, "entry", "left_semi").select("gid").union(groups.filter("k > 1").select("gid")).distinct()
-    nodes = members.join(in_entry, "gid", "left_semi").select("node").distinct()
-    firsts = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"))
-    sets = staged(_sets(docs, id_col, text, firsts.join(nodes, "node", "left_semi")), "sets")
-    tidy(spark)
+    # Slices first, then whole sets of the classes in pairs that are left.
+    firsts = staged(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n")), "firsts")
+    lone = firsts.select(F.col("node").alias("__n"), F.col("first").alias("__f"))
+    slices = rows.join(lone, (F.col("id") == F.col("__f")) & (F.col("node") == F.col("__n"))).select("node", "slice", "n")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        likely = cut(_likely(pairs, slices, params.percent))
+        nodes = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+        sets = staged(_sets(docs, id_col, text, firsts.join(nodes, "node", "left_semi"), params.broadcast_ids), "sets")
+        done = cut(_verified(likely, sets, params.percent).filter("link").select("a", "b").distinct())
+        tidy(spark)
+        return done
 
-    done = cut(_verified(first_pairs, sets, params.percent))
-    links = done.filter("link").select("a", "b")
+    links = compared(first_pairs)
     labels = cut(connected_components(links))
 
     # Pairs across components of one entry, or of one group, that were not yet compared.
@@ -321,8 +351,8 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p
     who = who.join(mixed, "entry", "left_semi")
     x, y = who.toDF("entry", "a", "na", "la"), who.toDF("entry", "b", "nb", "lb")
     cross = x.join(y, "entry").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & close(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    cross = cut(cross.join(done.select("a", "b"), ["a", "b"], "left_anti"))
-    more = cut(_verified(cross, sets, params.percent)).filter("link").select("a", "b")
+    cross = cut(cross.join(first_pairs, ["a", "b"], "left_anti"))
+    more = compared(cross)
     known = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     joined = more.join(known, "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     joined = joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
