@@ -80,7 +80,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
     """
     counts = np.diff(first)
     total = np.zeros(len(words), np.uint64)
-    for k, weight in enumerate(_WEIGHTS):
+    for k, weight in enumerate(_WEIGHTS[: len(words)]):
         total[: len(words) - k] += words[k:] * np.uint64(weight)
     windows = np.where(counts >= SHINGLE, counts - SHINGLE + 1, 0)
     ok = np.ones(len(words), bool)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ._spark import prepare
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+N_FEATURES = 19
 #: Words that label a host as unwanted.
 SEED_TERMS = ("spam", "pills", "casino", "viagra", "xxx", "poker", "replica", "payday", "escort", "warez")
 
@@ -147,7 +148,7 @@ class Boosted:
 def train(labelled: list[tuple[str, str, str, int]], params: UrlParams = UrlParams()) -> tuple[Boosted, dict[str, float], float]:
     """From (url, host, path, 1 to block)."""
     rates, mean = _stats([r[1:] for r in labelled])
-    x = np.array([features(u, h, p, rates, mean) for u, h, p, _ in labelled], float).reshape(len(labelled), -1)
+    x = np.array([features(u, h, p, rates, mean) for u, h, p, _ in labelled], float).reshape(-1, N_FEATURES)
     return Boosted(params).fit(x, np.array([y for *_, y in labelled], float)), rates, mean
 
 
@@ -167,7 +168,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url: str = "url", rule
         model, rates, mean = shared.value
         for batch in batches:
             urls, hosts, paths, ruled = (batch.column(k).to_pylist() for k in (1, 2, 3, 5))
-            x = np.array([features(u, h, p, rates, mean) for u, h, p in zip(urls, hosts, paths, strict=True)], float).reshape(len(urls), -1)
+            x = np.array([features(u, h, p, rates, mean) for u, h, p in zip(urls, hosts, paths, strict=True)], float).reshape(-1, N_FEATURES)
             score = model.predict(x) if len(urls) else np.empty(0)
             verdict = [r or ("block" if s > params.threshold else "allow") for r, s in zip(ruled, score, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(verdict, pa.string()), pa.array(score, pa.float64())], ["id", "host", "path", "rule", "verdict", "score"])

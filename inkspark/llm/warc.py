@@ -146,8 +146,14 @@ def _next_start(data: bytes, at: int) -> int:
         found = min((x for x in (packed, plain) if x >= 0), default=-1)
         if found < 0:
             return len(data)
-        if found == plain and (found == 0 or data[found - 1 : found] == b"\n"):
-            return found
+        if found == plain:
+            if found == 0 or data[found - 1 : found] == b"\n":
+                return found
+            try:
+                parse_record(data, found)
+                return found
+            except Damaged:
+                pass
         if found == packed:
             try:
                 if zlib.decompressobj(31).decompress(data[found : found + 65536], 16).startswith(b"WARC/1."):
