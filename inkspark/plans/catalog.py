@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cells, documents, text
+from . import cells, documents, files, text
 
-QUERIES = {**text.QUERIES, **cells.QUERIES, **documents.QUERIES}
-ORACLES = {**text.ORACLES, **cells.ORACLES, **documents.ORACLES}
+QUERIES = {**text.QUERIES, **cells.QUERIES, **documents.QUERIES, **files.QUERIES}
+ORACLES = {**text.ORACLES, **cells.ORACLES, **documents.ORACLES, **files.ORACLES}

@@ -1,4 +1,4 @@
-"""PDF objects: lexer, cross-reference tables and streams with recovery, filters, decryption by RC4."""
+"""PDF objects: lexer, cross-reference tables and streams with recovery, filters, decryption by RC4 and AES."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import struct
 import zlib
 from dataclasses import dataclass, field
 
+from . import aes
 from .package import FormatError
 
 _WHITE = b"\0\t\n\f\r "
@@ -303,6 +304,7 @@ class Document:
     recovered: bool = False
     notes: list[str] = field(default_factory=list)
     key: bytes | None = None
+    method: str = "V2"
     cache: dict = field(default_factory=dict)
     opened: dict = field(default_factory=dict)
 
@@ -481,15 +483,18 @@ class Document:
         return decoded(stream.raw, filters, (parms + [{}] * len(filters))[: len(filters)])
 
     def _unlock(self) -> None:
-        """The key of the standard handler, revisions 2 to 4 with RC4, by the user or the owner password."""
+        """The key of the standard handler by the user or the owner password: revisions 2, 3, 4 and 6."""
         e = self.resolve(self.trailer["Encrypt"])
         v, r = e.get("V", 0), e.get("R", 0)
-        if e.get("Filter") != "Standard" or v not in (1, 2, 4) or r not in (2, 3, 4):
+        if e.get("Filter") != "Standard" or (v, r) not in ((1, 2), (1, 3), (2, 2), (2, 3), (4, 4), (5, 6)):
             raise FormatError(f"unsupported encryption V{v} R{r}")
-        if v == 4:
-            method = self.resolve(self.resolve(e.get("CF", {})).get(str(e.get("StmF", "Identity")), {})).get("CFM")
-            if method != "V2":
-                raise FormatError(f"unsupported encryption method {method}")
+        if v >= 4:
+            self.method = str(self.resolve(self.resolve(e.get("CF", {})).get(str(e.get("StmF", "Identity")), {})).get("CFM"))
+            if self.method not in ("V2", "AESV2", "AESV3"):
+                raise FormatError(f"unsupported encryption method {self.method}")
+        if r == 6:
+            self._unlock_6(e)
+            return
         n = 5 if r == 2 else e.get("Length", 128 if v == 4 else 40) // 8
         first = (self.resolve(self.trailer.get("ID")) or [b""])[0]
 
@@ -522,16 +527,36 @@ class Document:
                 break
         else:
             raise FormatError("the password does not open the file")
-        keep = {n: v for n, v in self.cache.items() if isinstance(self.trailer["Encrypt"], Ref) and n == self.trailer["Encrypt"].num}
-        self.cache = keep
+        self._forget()
+
+    def _forget(self) -> None:
+        """Drop what was read before the key was known, but for the encryption dictionary itself."""
+        own = self.trailer["Encrypt"]
+        self.cache = {n: v for n, v in self.cache.items() if isinstance(own, Ref) and n == own.num}
         self.opened.clear()
 
+    def _unlock_6(self, e: dict) -> None:
+        password = self.password.decode("latin-1").encode("utf-8")[:127]
+        u, o = e["U"][:48], e["O"][:48]
+        for given, salt, extra, sealed in ((u, u[32:40], b"", e["UE"]), (o, o[32:40], u, e["OE"])):
+            if _hash_6(password, salt, extra) == given[:32]:
+                self.key = aes.decrypt(_hash_6(password, given[40:48], extra), sealed, bytes(16), padded=False)
+                self._forget()
+                return
+        raise FormatError("the password does not open the file")
+
     def _clear(self, value, num: int, gen: int):
-        key = hashlib.md5(self.key + struct.pack("<I", num)[:3] + struct.pack("<I", gen)[:2]).digest()[: min(len(self.key) + 5, 16)]
+        key = self.key
+        if self.method != "AESV3":
+            salt = b"sAlT" if self.method == "AESV2" else b""
+            key = hashlib.md5(self.key + struct.pack("<I", num)[:3] + struct.pack("<I", gen)[:2] + salt).digest()[: min(len(self.key) + 5, 16)]
+
+        def open_(raw: bytes) -> bytes:
+            return _rc4(key, raw) if self.method == "V2" else aes.decrypt(key, raw)
 
         def walk(v):
             if isinstance(v, bytes):
-                return _rc4(key, v)
+                return open_(v)
             if isinstance(v, list):
                 return [walk(x) for x in v]
             if isinstance(v, dict):
@@ -539,12 +564,24 @@ class Document:
             if isinstance(v, Stream):
                 if v.info.get("Type") == "XRef":
                     return v
-                return Stream(walk(v.info), _rc4(key, v.raw), v.num, v.gen)
+                return Stream(walk(v.info), open_(v.raw), v.num, v.gen)
             return v
 
         return walk(value)
 
 
+def _hash_6(password: bytes, salt: bytes, extra: bytes) -> bytes:
+    """The hardened hash of revision 6."""
+    k = hashlib.sha256(password + salt + extra).digest()
+    turn = 0
+    while True:
+        e = aes.encrypt(k[:16], (password + k + extra) * 64, k[16:32])
+        k = (hashlib.sha256, hashlib.sha384, hashlib.sha512)[sum(e[:16]) % 3](e).digest()
+        turn += 1
+        if turn >= 64 and e[-1] <= turn - 32:
+            return k[:32]
+
+
 def text_string(raw) -> str:
     """A text string: UTF-16 with a mark, UTF-8 with a mark, else bytes as they are."""
     if not isinstance(raw, bytes):
