@@ -10,9 +10,10 @@ its one shingle; a text without words has none and is linked with nothing.  Two
    work follows, never which links are found, so the bound on that list loses nothing.
 3. Sets that reach 0.8 share one of their first ``n - ceil(0.8 n) + 1`` shingles in that order.  Classes with the same
    size and the same prefix form a group; an inverted index over prefixes holds groups.
-4. In each index entry only a star is verified: groups against the entry's first group, members of a group against its
-   first member.  Entries (and groups) whose members then lie in one component need no more work; for the rest, the pairs
-   across components that were not yet compared are verified.  So no entry emits all of its pairs, and no link between
+4. In each index entry only a star is verified: around its most common member, that with the smallest share of shingles
+   that few texts have; in each group likewise.  Entries (and groups) whose members then lie in one component need no more
+   work; for the rest, the pairs across components that were not yet compared are verified, less those whose parities
+   (one bit per bucket of hashes) already differ in more bits than linked sets may differ in shingles.  So no entry emits all of its pairs, and no link between
    different components is missed.
 5. A pair's sets may differ in a ninth of their sizes' sum; pairs whose slices (a sixth of the hashes) differ by more are
    put aside at once.  For the others whole sets are intersected.  Links become components by alternating stars.
@@ -42,6 +43,7 @@ from .components import connected_components
 
 _U64, _U32, _I64 = np.uint64, np.uint32, np.int64
 SLICES = 6
+PARITY = 1024  # bits
 
 
 @dataclass(frozen=True)
@@ -62,21 +64,26 @@ def _node(sets: np.ndarray) -> int:
 
 
 def shingle_classes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, n, node, slice) per row; rows with equal sets share a node, which is null for an empty set.
+    """(id, n, node, slice, parity) per row; rows with equal sets share a node, which is null for an empty set.
 
-    The slice has 32 bits of every shingle whose hash is divisible by ``SLICES``."""
+    The slice has 32 bits of every shingle whose hash is divisible by ``SLICES``.  The parity has a bit per bucket of hashes,
+    set where the number of shingles is odd: two sets differ in at least as many shingles as their parities in bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, part = [], [], []
+            n, node, part, odd = [], [], [], []
             for _, s in shingle_sets(batch.column(1)):
                 n.append(len(s))
                 node.append(_node(s) if len(s) else None)
                 part.append(np.unique((s[s % _U64(SLICES) == 0] >> _U64(32)).astype(_U32)).tobytes())
-            columns = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(part, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "node", "slice"])
+                counts = np.bincount((s & _U64(PARITY - 1)).astype(_I64), minlength=PARITY)
+                odd.append(np.packbits(counts.astype(np.uint8) & 1).view(_I64))
+            flat = np.concatenate(odd) if odd else np.empty(0, _I64)
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1) * (PARITY // 64), pa.int32()), pa.array(flat))
+            columns = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(part, pa.binary()), parity]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "node", "slice", "parity"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, node long, slice binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, node long, slice binary, parity array<long>")
 
 
 def _frequent(docs: DataFrame, text: str, ranges: int, params: JoinParams) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +146,7 @@ def _index_rows(docs: DataFrame, text: str, ranges: int, params: JoinParams, tok
             gids, sizes, nodes, prefixes, common = [], [], [], [], []
             seen: set[int] = set()
             groups: set[int] = set()
-            members: list[tuple[int, int, int]] = []
+            members: list[tuple[int, int, int, int]] = []
             for s in sets:
                 node = _node(s)
                 if node in seen:
@@ -158,7 +165,7 @@ def _index_rows(docs: DataFrame, text: str, ranges: int, params: JoinParams, tok
                     rest, many = s[often], counts[where[often]]
                     rest = rest[np.lexsort((rest, many))][: p - len(rare)]
                 gid = int.from_bytes(blake2b(rare.tobytes() + b"|" + rest.tobytes() + len(s).to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
-                members.append((gid, len(s), node))
+                members.append((gid, len(s), node, 1000 * int(np.count_nonzero(~often)) // len(s)))
                 if gid not in groups:
                     groups.add(gid)
                     gids.append(gid)
@@ -167,8 +174,8 @@ def _index_rows(docs: DataFrame, text: str, ranges: int, params: JoinParams, tok
                     common.append(rest)
             rows: list[tuple] = []
             if members:
-                m = np.array(members, _I64).reshape(-1, 3)
-                rows.append((2, 0, m[:, 0].tobytes(), m[:, 1].tobytes(), m[:, 2].tobytes(), b"", b""))
+                m = np.array(members, _I64).reshape(-1, 4)
+                rows.append((2, 0, m[:, 0].tobytes(), m[:, 1].tobytes(), m[:, 2].tobytes(), m[:, 3].tobytes(), b""))
             for kind, lists in ((0, prefixes), (1, common)):
                 flat = np.concatenate(lists) if lists else np.empty(0, _U64)
                 if not len(flat):
@@ -309,20 +316,21 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p
     index = staged(_index_rows(docs, text, ranges, params, tokens, counts), "index")
     tidy(spark)
 
-    members = _expand(index.filter("kind = 2").select("gid", "n", "node"), ["gid", "n", "node"], "gid long, n long, node long").distinct()
-    members = staged(members, "members")
+    members = _expand(index.filter("kind = 2").select("gid", "n", "node", "token"), ["gid", "n", "node", "odd"], "gid long, n long, node long, odd long")
+    members = staged(members.distinct(), "members")
     rare = index.filter("kind = 0").groupBy("range").applyInPandas(_entries, "entry long, gid long").distinct()
-    often = _expand(index.filter("kind = 1").select("token", "gid"), ["entry", "gid"], "entry long, gid long").distinct()
-    entries = staged(rare.union(often), "entries")
+    often = staged(_expand(index.filter("kind = 1").select("token", "gid"), ["entry", "gid"], "entry long, gid long").distinct(), "often")
+    alike = often.groupBy("entry").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("gid")).alias("x"), F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("y"))
+    often = often.join(alike.groupBy("k", "x", "y").agg(F.min("entry").alias("entry")).select("entry"), "entry", "left_semi")
+
+    # The star of each entry and of each group around its most common member: that with the fewest shingles of its own.
+    groups = cut(members.groupBy("gid").agg(F.min(F.struct("odd", "node")).alias("c"), F.max("n").alias("n"), F.count(F.lit(1)).alias("k")))
+    groups = groups.select("gid", F.col("c.odd").alias("odd"), F.col("c.node").alias("lead"), "n", "k")
+    entries = staged(rare.union(often).join(groups, "gid"), "entries")
     tidy(spark)
-
-    # The first member of each group, and the star of each entry and of each group.
-    groups = cut(members.groupBy("gid").agg(F.min("node").alias("lead"), F.max("n").alias("n"), F.count(F.lit(1)).alias("k")))
     close = lambda a, b: (100 * F.least(a, b) >= params.percent * F.greatest(a, b))
-    hubs = entries.groupBy("entry").agg(F.min("gid").alias("hub"))
-    star = entries.join(hubs, "entry").filter("gid != hub").select("hub", "gid").distinct()
-    ends = groups.select(F.col("gid").alias("hub"), F.col("lead").alias("a"), F.col("n").alias("na"))
-    star = star.join(ends, "hub").join(groups.select("gid", F.col("lead").alias("b"), "n"), "gid").filter(close(F.col("n"), F.col("na"))).select("a", "b")
+    hubs = entries.groupBy("entry").agg(F.min(F.struct("odd", "lead", "n")).alias("hub"))
+    star = entries.join(hubs, "entry").filter((F.col("lead") != F.col("hub.lead")) & close(F.col("n"), F.col("hub.n"))).select(F.col("hub.lead").alias("a"), F.col("lead").alias("b"))
     inner = members.join(groups.filter("k > 1").select("gid", "lead"), "gid").filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first_pairs = cut(ordered(star.union(inner)))
@@ -330,7 +338,8 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p
     # Slices first, then whole sets of the classes in pairs that are left.
     firsts = staged(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n")), "firsts")
     lone = firsts.select(F.col("node").alias("__n"), F.col("first").alias("__f"))
-    slices = rows.join(lone, (F.col("id") == F.col("__f")) & (F.col("node") == F.col("__n"))).select("node", "slice", "n")
+    own = rows.join(lone, (F.col("id") == F.col("__f")) & (F.col("node") == F.col("__n")))
+    slices = own.select("node", "slice", "n")
 
     def compared(pairs: DataFrame) -> DataFrame:
         likely = cut(_likely(pairs, slices, params.percent))
@@ -343,14 +352,17 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p
     links = compared(first_pairs)
     labels = cut(connected_components(links))
 
-    # Pairs across components of one entry, or of one group, that were not yet compared.
-    every = entries.union(groups.filter("k > 1").select(F.col("gid").alias("entry"), "gid"))
+    # Pairs across components of one entry, or of one group, that were not yet compared and whose parities are near.
+    every = entries.select("entry", "gid").union(groups.filter("k > 1").select(F.col("gid").alias("entry"), "gid"))
     who = every.join(members, "gid").join(labels, "node", "left").select("entry", "node", "n", F.coalesce("label", "node").alias("label")).distinct()
     who = staged(who, "open")
     mixed = who.groupBy("entry").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p != q").select("entry")
-    who = who.join(mixed, "entry", "left_semi")
-    x, y = who.toDF("entry", "a", "na", "la"), who.toDF("entry", "b", "nb", "lb")
-    cross = x.join(y, "entry").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & close(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    who = who.join(mixed, "entry", "left_semi").join(own.select("node", "parity"), "node").select("entry", "node", "n", "label", "parity")
+    who = staged(who, "mixed")
+    x, y = who.toDF("entry", "a", "na", "la", "pa"), who.toDF("entry", "b", "nb", "lb", "pb")
+    apart = sum((F.bit_count(F.col("pa")[k].bitwiseXOR(F.col("pb")[k])) for k in range(1, PARITY // 64)), F.bit_count(F.col("pa")[0].bitwiseXOR(F.col("pb")[0])))
+    near = apart * (100 + params.percent) <= (F.col("na") + F.col("nb")) * (100 - params.percent)
+    cross = x.join(y, "entry").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & close(F.col("na"), F.col("nb")) & near).select("a", "b").distinct()
     cross = cut(cross.join(first_pairs, ["a", "b"], "left_anti"))
     more = compared(cross)
     known = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
