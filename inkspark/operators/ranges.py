@@ -6,7 +6,7 @@ by an equi-join on the block; the range itself is then tested.  Ties go to the f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,18 +33,27 @@ def first_range(
     return points.join(best, key, "left").select(*points.columns, *(F.col(f"__best.{c}").alias(c) for c in take))
 
 
-def as_of(points: DataFrame, starts: DataFrame, at: str, start: str, order: str, take: list[str], blocks: int = 0) -> DataFrame:
+def as_of(points: DataFrame, starts: DataFrame, at: str, start: str, order: str, take: list[str], broadcast_rows: int = 100_000) -> DataFrame:
     """``points`` with the columns of the greatest ``start`` that is not above ``at``; of equal starts the last listed.
 
-    ``starts`` is a small sorted list kept in one row per partition by broadcast once its size was checked (``blocks`` rows at
-    most); larger lists go by :func:`first_range` over the ranges between starts.
+    Starts become ranges that end before the next start.  A list of at most ``broadcast_rows`` different starts, which is
+    counted first, is broadcast; for a longer one points and starts are merged in one sort instead, and each point takes the
+    last start before it.
     """
-    from pyspark.sql import Window
-
     kept = starts.groupBy(start).agg(F.max_by(F.struct(*take), F.col(order)).alias("__take"))
-    following = Window.orderBy(start)
-    ranges = kept.withColumn("__end", F.coalesce(F.lead(start).over(following) - 1, F.lit(2**31 - 1)))
-    if blocks:
-        ranges = F.broadcast(ranges)
-    joined = points.join(ranges, (F.col(at) >= F.col(start)) & (F.col(at) <= F.col("__end")), "left")
+    if kept.count() <= broadcast_rows:
+        ranges = kept.withColumn("__end", F.coalesce(F.lead(start).over(Window.orderBy(start)) - 1, F.lit(2**62)))
+        joined = points.join(F.broadcast(ranges), (F.col(at) >= F.col(start)) & (F.col(at) <= F.col("__end")), "left")
+        return joined.select(*points.columns, *(F.col(f"__take.{c}").alias(c) for c in take))
+    marks = kept.select(F.col(start).cast("long").alias("__at"), "__take", F.lit(0).alias("__point"))
+    asked = points.select(F.col(at).cast("long").alias("__at")).distinct().select("__at", F.lit(None).cast(kept.schema["__take"].dataType).alias("__take"), F.lit(1).alias("__point"))
+    parted = marks.unionByName(asked).repartitionByRange("__at").withColumn("__part", F.spark_partition_id())
+    parted = parted.checkpoint() if points.sparkSession.sparkContext.getCheckpointDir() else parted.persist()
+    inside = Window.partitionBy("__part").orderBy("__at", "__point")
+    last = F.last("__take", ignorenulls=True)
+    ends = parted.groupBy("__part").agg(F.max_by("__take", F.when(F.col("__take").isNotNull(), F.col("__at"))).alias("__take"))
+    carried = ends.withColumn("__before", last.over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).select("__part", "__before")
+    found = parted.withColumn("__here", last.over(inside)).join(F.broadcast(carried), "__part").filter("__point = 1")
+    found = found.select("__at", F.coalesce("__here", "__before").alias("__take"))
+    joined = points.join(found, F.col(at).cast("long") == F.col("__at"), "left")
     return joined.select(*points.columns, *(F.col(f"__take.{c}").alias(c) for c in take))

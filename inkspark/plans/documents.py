@@ -114,7 +114,7 @@ def label_asof(spark: SparkSession, d: str) -> DataFrame:
         F.col("r_regionkey").alias("ord"), (F.floor(F.col("r_regionkey") / 2) * 400 + 10).alias("start"), F.col("r_name").alias("prefix"), (F.col("r_regionkey") + 3).alias("first")
     )
     pages = read(spark, d, "orders").select("o_orderkey")
-    held = ranges.as_of(pages, starts, "o_orderkey", "start", "ord", ["start", "prefix", "first"], blocks=1000)
+    held = ranges.as_of(pages, starts, "o_orderkey", "start", "ord", ["start", "prefix", "first"])
     number = F.col("o_orderkey") - F.col("start") + F.col("first")
     text = F.when(F.col("start").isNull(), (F.col("o_orderkey") + 1).cast("string")).otherwise(F.concat("prefix", F.lit("-"), number.cast("string")))
     return held.select("o_orderkey", text.alias("label"))
