@@ -218,5 +218,5 @@ def quality_verdicts(
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", params: QualityParams = QualityParams()) -> DataFrame:
     """The rows of ``docs`` that are kept, unchanged.  Rows that share an id share a verdict: all must be kept."""
-    bad = quality_verdicts(docs, id_col, params=params).filter(~F.col("kept")).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+    bad = quality_verdicts(docs, id_col, params=params).filter(~F.col("kept")).select(F.col(id_col).alias("__rejected")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__rejected")), "left_anti")

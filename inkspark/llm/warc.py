@@ -10,7 +10,7 @@ searches for the next member that inflates or the next version line, goes on the
 quarantined gap with the reason.  A revisit's payload comes from its response by a join on the digest.
 
 Defined cases: a null html is an empty payload, a null url an empty target; page ids must be unique to be told apart,
-repeated rows give repeated records; an empty table gives no archives.
+repeated rows give repeated records, and rows without an id are responses; an empty table gives no archives.
 """
 
 from __future__ import annotations
@@ -45,13 +45,17 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str, payload: bytes, sha1: str, refers_to: int | None) -> bytes:
+def _urn(page_id: int | None) -> bytes:
+    return b"<urn:page:null>" if page_id is None else b"<urn:page:%d>" % page_id
+
+
+def record(page_id: int | None, url: str, payload: bytes, sha1: str, refers_to: int | None) -> bytes:
     """One record with its HTTP head; a revisit has the head alone."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http + (payload if refers_to is None else b"")
     fields = [
         (b"WARC-Type", b"response" if refers_to is None else b"revisit"),
-        (b"WARC-Record-ID", b"<urn:page:%d>" % page_id),
+        (b"WARC-Record-ID", _urn(page_id)),
         (b"WARC-Date", _DATE),
         (b"WARC-Target-URI", "".join(c for c in url if c >= " ").encode()),
         (b"Content-Type", b"application/http; msgtype=response"),
@@ -60,7 +64,7 @@ def record(page_id: int, url: str, payload: bytes, sha1: str, refers_to: int | N
         (b"Content-Length", b"%d" % len(block)),
     ]
     if refers_to is not None:
-        fields[5:5] = [(b"WARC-Profile", _PROFILE), (b"WARC-Refers-To", b"<urn:page:%d>" % refers_to)]
+        fields[5:5] = [(b"WARC-Profile", _PROFILE), (b"WARC-Refers-To", _urn(refers_to))]
     return VERSION + b"\r\n" + b"".join(k + b": " + v + b"\r\n" for k, v in fields) + b"\r\n" + block + b"\r\n\r\n"
 
 
