@@ -12,19 +12,23 @@ All numbers are little-endian.  A document set is a sequence of files in ascendi
 are one row of a Parquet data set in the shared folder, so that Spark commits them as a whole whatever executors do and any
 file system will do; :func:`export_files` writes them out as single files where a folder is mounted.
 
-Defined cases: null and empty texts have the end id alone; repeated rows are kept, in any order among themselves; an empty
+Defined cases: null and empty texts have the end id alone; null ids come first; repeated rows are kept, in any order among themselves; an empty
 table gives no files.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +36,7 @@ from ._spark import prepare, staged
 
 MAGIC, VERSION, BLOCK = b"IKTB", 1, 4096
 _HEAD = struct.Struct("<4sHHQQQ")
+NO_ID = -(1 << 63)  # stands for a null document id
 
 
 def width_for(vocabulary: int) -> int:
@@ -62,7 +67,8 @@ def write_file(doc_ids: list[int], counts: list[int], ids: np.ndarray, width: in
     blocks = [pack(ids[k : k + BLOCK], width) for k in range(0, len(ids), BLOCK)]
     offsets = np.cumsum([0] + [len(b) for b in blocks]).astype("<u8")
     head = _HEAD.pack(MAGIC, VERSION, width, len(doc_ids), len(ids), len(blocks))
-    return b"".join([head, np.array(doc_ids, "<i8").tobytes(), np.array(counts, "<u8").tobytes(), offsets.tobytes(), *blocks])
+    named = np.array([NO_ID if i is None else i for i in doc_ids], "<i8")
+    return b"".join([head, named.tobytes(), np.array(counts, "<u8").tobytes(), offsets.tobytes(), *blocks])
 
 
 class TokenFile:
@@ -96,37 +102,87 @@ class TokenFile:
 class TokenParams:
     end_id: int = 2
     file_tokens: int = 1 << 20
-    cache: int = 300_000  # different words that a worker remembers
+    cache: int = 600_000  # different pieces that a worker remembers
 
 
 class WordEncoder:
-    """A tokenizer whose pre-tokenizer cuts at white space: words are encoded by the library, once each per worker."""
+    """A tokenizer that encodes each different piece of text once per worker.
+
+    Its pre-tokenizer cuts a normalised text into contractions, runs of letters, single digits and runs of other signs.  The
+    same cuts are made here, the library encodes the pieces it has not seen, many at a time, and the ids of a text are
+    put together by array operations.  Texts for which cutting before normalising could differ (not in NFC, the
+    letter U+0130, or what may hold a special token) go to the library whole; so do all texts if the tokenizer fails a
+    test of these rules (``cuts``).
+    """
+
+    _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+    _PIECES = regex.compile(r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+    _PROBE = ("a b", "it 's", "1 2", "! ?", "a\nb", "Hello, World!", "x12y", "(a)", "Été.", "AbC-dEf", "12,5", "naïve?!", "a  b", "", "DON'T we'll", "'tis ''s", "½①")
 
     def __init__(self, path: str, cache: int):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side already
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.cache, self.known = cache, {}
-        self.splits = all(self.tokenizer.encode(a + s + b, add_special_tokens=False).ids == self._one(a) + self._one(b) for s in (" ", "\n") for a, b in (("a", "b"), ("it", "'s"), ("1", "2"), ("!", "?")))
-
-    def _one(self, word: str) -> list[int]:
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def encode(self, text: str) -> list[int]:
-        if not self.splits or "<|" in text:
-            return self._one(text)
-        known, out = self.known, []
-        for word in text.replace("\n", " ").split(" "):
-            ids = known.get(word)
-            if ids is None:
-                ids = self._one(word)
-                if len(word) <= 64:
-                    if len(known) >= self.cache:
-                        known.clear()
-                    known[word] = ids
-            out += ids
+        self.cache, self.cuts = cache, True
+        self._clear()
+        self.cuts = all(np.array_equal(got, self._whole(t)) for got, t in zip(self.encode_all(list(self._PROBE)), self._PROBE, strict=True))
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool = np.empty(1 << 16, np.uint32)
+        self.bounds = np.zeros(1 << 14, np.int64)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _pieces(self, text: str) -> list[str] | None:
+        if not self.cuts or "<|" in text:
+            return None
+        if text.isascii():
+            return self._ASCII.findall(text.lower())
+        if "\u0130" in text or not unicodedata.is_normalized("NFC", text):
+            return None
+        return self._PIECES.findall(text)
+
+    def _learn(self, fresh: list[str]) -> None:
+        for k in range(0, len(fresh), 1000):
+            part = fresh[k : k + 1000]
+            joined = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, words = np.array(joined.ids, np.uint32), np.array(joined.word_ids, np.int64)
+            sizes = np.bincount(words, minlength=len(part)) if len(words) else np.zeros(len(part), np.int64)
+            if len(sizes) != len(part):  # a piece that is cut further: one by one
+                each = [self._whole(p) for p in part]
+                ids, sizes = np.concatenate(each), np.array([len(e) for e in each])
+            n, begin = len(self.known), int(self.bounds[len(self.known)])
+            while n + len(part) + 1 > len(self.bounds):
+                self.bounds = np.concatenate((self.bounds, np.zeros(len(self.bounds), np.int64)))
+            while begin + len(ids) > len(self.pool):
+                self.pool = np.concatenate((self.pool, np.empty(len(self.pool), np.uint32)))
+            self.pool[begin : begin + len(ids)] = ids
+            self.bounds[n + 1 : n + 1 + len(part)] = begin + np.cumsum(sizes)
+            self.known.update(zip(part, range(n, n + len(part)), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        cut = [self._pieces(t) for t in texts]
+        every = set().union(*(pieces for pieces in cut if pieces))
+        fresh = list(every.difference(self.known))
+        if len(self.known) + len(fresh) > self.cache and self.known:
+            self._clear()
+            fresh = list(every)
+        self._learn(fresh)
+        out = []
+        for text, pieces in zip(texts, cut, strict=True):
+            if pieces is None:
+                out.append(self._whole(text))
+                continue
+            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            begins, sizes = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+            ends = np.cumsum(sizes)
+            out.append(self.pool[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)])
         return out
 
 
@@ -156,9 +212,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["first_id", "last_id", "n_documents", "n_tokens", "data"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                part = np.array([*encoder.encode(text.as_py() or ""), params.end_id], np.uint32)
-                ids.append(doc_id.as_py())
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, got in zip(batch.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
+                part = np.append(got, np.uint32(params.end_id))
+                ids.append(doc_id)
                 counts.append(len(part))
                 parts.append(part)
                 size += len(part)
@@ -185,11 +242,14 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 file = TokenFile(data.as_py())
                 crc = [zlib.crc32(file.document(k).astype("<u4").tobytes()) for k in range(len(file.doc_ids))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(file.doc_ids), pa.array(file.starts[:-1] + base.as_py()), pa.array(file.counts.astype(np.int64)), pa.array(crc, pa.int64())],
+                    [pa.array(file.doc_ids, mask=file.doc_ids == NO_ID), pa.array(file.starts[:-1] + base.as_py()), pa.array(file.counts.astype(np.int64)), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    placed = files.withColumn("h", F.xxhash64("data")).join(starts.select("first_id", "last_id", "h", "base"), ["first_id", "last_id", "h"])
+    keys = ["first_id", "last_id", "h"]
+    hashed = files.withColumn("h", F.xxhash64("data"))
+    same = [hashed[k].eqNullSafe(starts[k]) for k in keys]
+    placed = hashed.join(starts, same[0] & same[1] & same[2])
     return placed.select("base", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
