@@ -3,7 +3,8 @@
 A line's key is 128 bits of hash of its text without outer white space.  Per key, HyperLogLog sketches of the sites that
 hold it are built by every task and merged by aggregation; keys whose estimate is too near the threshold to be sure get
 an exact distinct count.  A line on ``min_sites`` sites or more stays only where it comes first (smallest id, then
-position); its other occurrences go.  Lines of fewer than ``min_words`` words recur by chance and always stay.
+position); its other occurrences go.  Every line that is not blank counts.  Lines of fewer than ``min_words`` words recur
+by chance, so they must stand on more sites: ``short_sites`` more for each word that is missing.
 
 Defined cases: a null text stays null and has no lines; a null site is a site of its own; rows equal in id and text are
 treated alike, so a repeated row keeps what its twin keeps; a text without removed lines is returned as it was; an empty
@@ -26,36 +27,39 @@ _BLANK = " \t\n\x0b\f\r"
 class LineDedupParams:
     min_sites: int = 3
     min_words: int = 5
+    short_sites: int = 2  # more sites for each word below ``min_words``
     lg_k: int = 12  # of the sketches; their standard error is about 1.04 / sqrt(2 ** lg_k)
     doubt: float = 0.1  # share of the threshold within which an estimate is not trusted
 
 
 def _line_rows(docs: DataFrame, id_col: str, text: str, site: str, params: LineDedupParams) -> DataFrame:
-    """(__id, __k, __pos, __h1, __h2, __site) of every line that may count."""
+    """(__id, __k, __pos, __h1, __h2, __site, __need) of every line that is not blank; ``__need`` sites are enough for it."""
     rows = docs.select(
         F.col(id_col).alias("__id"), F.xxhash64(text).alias("__k"), F.xxhash64(F.coalesce(F.col(site), F.lit("\0null"))).alias("__site"),
         F.posexplode(F.split(F.col(text), "\n", -1)).alias("__pos", "__line"),
     )
     line = F.btrim(F.col("__line"), F.lit(_BLANK))
-    enough = r"^[^\x20\x09-\x0D]+([\x20\x09-\x0D]+[^\x20\x09-\x0D]+){%d}" % (params.min_words - 1)
-    return rows.filter(line.rlike(enough)).select("__id", "__k", "__pos", F.xxhash64(line).alias("__h1"), F.xxhash64(line, F.lit(1)).alias("__h2"), "__site")
+    short = params.min_words - F.size(F.split(line, r"[\x20\x09-\x0D]+", max(1, params.min_words)))
+    need = (params.min_sites + params.short_sites * F.greatest(short, F.lit(0))).cast("int")
+    rows = rows.filter(line != "")
+    return rows.select("__id", "__k", "__pos", F.xxhash64(line).alias("__h1"), F.xxhash64(line, F.lit(1)).alias("__h2"), "__site", need.alias("__need"))
 
 
 def spread_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", site: str = "source", params: LineDedupParams = LineDedupParams()) -> tuple[DataFrame, DataFrame]:
     """The rows of lines on enough sites, and per such key its first occurrence (``__first``) and ``__sites``."""
     key = ["__h1", "__h2"]
     rows = staged(_line_rows(docs, id_col, text, site, params), "lines")
-    often = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("__site").alias("a"), F.max("__site").alias("b"))
-    often = often.filter((F.col("n") >= params.min_sites) & ((F.col("a") != F.col("b")) | F.lit(params.min_sites <= 1))).select(*key)
+    often = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("__site").alias("a"), F.max("__site").alias("b"), F.max("__need").alias("need"))
+    often = often.filter((F.col("n") >= F.col("need")) & ((F.col("a") != F.col("b")) | F.lit(params.min_sites <= 1))).select(*key)
     rows = staged(rows.join(often, key, "left_semi"), "often")
-    sketch = rows.groupBy(*key).agg(F.hll_sketch_agg("__site", params.lg_k).alias("s"), F.min(F.struct("__id", "__k", "__pos")).alias("__first"))
-    found = staged(sketch.select(*key, F.hll_sketch_estimate("s").alias("__sites"), "__first"), "sketches")
-    low, high = params.min_sites * (1 - params.doubt) - 1, params.min_sites * (1 + params.doubt) + 1
+    sketch = rows.groupBy(*key).agg(F.hll_sketch_agg("__site", params.lg_k).alias("s"), F.min(F.struct("__id", "__k", "__pos")).alias("__first"), F.max("__need").alias("__need"))
+    found = staged(sketch.select(*key, F.hll_sketch_estimate("s").alias("__sites"), "__first", "__need"), "sketches")
+    low, high = F.col("__need") * (1 - params.doubt) - 1, F.col("__need") * (1 + params.doubt) + 1
     doubtful = found.filter((F.col("__sites") >= low) & (F.col("__sites") <= high))
     pairs = rows.join(doubtful.select(*key), key, "left_semi").groupBy(*key, "__site").agg(F.lit(1).alias("one"))
-    exact = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("__exact")).filter(F.col("__exact") >= params.min_sites)
+    exact = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("__exact"))
     sure = found.filter(F.col("__sites") > high).select(*key, "__first", "__sites")
-    return rows, sure.unionByName(doubtful.join(exact, key).select(*key, "__first", F.col("__exact").alias("__sites")))
+    return rows, sure.unionByName(doubtful.join(exact, key).filter(F.col("__exact") >= F.col("__need")).select(*key, "__first", F.col("__exact").alias("__sites")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", site: str = "source", params: LineDedupParams = LineDedupParams()) -> DataFrame:

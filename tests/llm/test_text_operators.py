@@ -148,6 +148,13 @@ def test_line_dedup_thresholds_are_exact(spark, sites, min_sites, spread):
     assert got.agg(F.sum("__removed")).first()[0] == (39 if spread else 0)
 
 
+@pytest.mark.parametrize(("line", "sites", "spread"), [("All rights reserved.", 7, True), ("All rights reserved.", 6, False), ("four words on sites", 5, True), ("four words on sites", 4, False), ("}", 11, True), ("}", 10, False)])
+def test_line_dedup_asks_more_sites_of_short_lines(spark, line, sites, spread):
+    df = spark.createDataFrame([(i, f"own {i}\n \n {line} ", "en", f"s{i % sites}", 0) for i in range(40)], DOCS)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {i: f"own {i}\n " + (f"\n {line} " if i == 0 or not spread else "") for i in range(40)}
+
+
 def test_decontamination_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
