@@ -11,7 +11,8 @@ a bounded number of different values.
 Defined cases: a null text counts as empty and fails the base rules; null language or source are groups like others;
 equal rows get equal verdicts; an empty table gives an empty result; other columns pass through :func:`quality_filter`.
 A group of fewer than ``min_group`` rows joins the other small groups of its language; where these are too few as well,
-the base rules alone decide.
+the estimate is that of all rows of the language, and where the language has too few, that of all rows.  Every row that
+passes the base rules has a distance; in a table of fewer than ``min_group`` such rows it is not scaled up.
 """
 
 from __future__ import annotations
@@ -162,12 +163,14 @@ def _inverse_factor(moments: DataFrame, key: list[str]) -> DataFrame:
     return df.select(*key, "centre", F.array(*(F.col(f"m{i}_{j}") for i, j in _PAIRS)).alias("factor"))
 
 
-def mcd(stats: DataFrame, params: QualityParams) -> DataFrame:
+def mcd(stats: DataFrame, params: QualityParams, few: bool = False) -> DataFrame:
     """Per group ``g``: centre, inverse factor and the scale of squared distances, by concentration steps from a
-    coordinatewise robust start (median and median absolute deviation)."""
+    coordinatewise robust start (median and median absolute deviation).  Tables of ``few`` groups are broadcast, so that
+    a group of all rows is not gathered."""
     p = len(_NAMES)
+    near = F.broadcast if few else (lambda df: df)
     middle = stats.groupBy("g").agg(*(F.percentile(n, F.lit(0.5)).alias(f"med_{n}") for n in _NAMES))
-    spread = stats.join(middle, "g").groupBy("g").agg(
+    spread = stats.join(near(middle), "g").groupBy("g").agg(
         *(F.max(f"med_{n}").alias(f"med_{n}") for n in _NAMES),
         *(F.percentile(F.abs(F.col(n) - F.col(f"med_{n}")).cast("long"), F.lit(0.5)).alias(f"mad_{n}") for n in _NAMES),
     )
@@ -178,39 +181,52 @@ def mcd(stats: DataFrame, params: QualityParams) -> DataFrame:
         F.array(*((1 / sd[i]) if i == j else F.lit(0.0) for i, j in _PAIRS)).alias("factor"),
     ))
     for _ in range(params.steps):
-        rows = stats.join(at, "g").select("g", *_NAMES, _bin(_distance()).alias("_b"))
+        rows = stats.join(near(at), "g").select("g", *_NAMES, _bin(_distance()).alias("_b"))
         limit = rows.groupBy("g").agg(F.percentile("_b", F.lit(params.subset)).alias("_limit"))
-        inside = rows.join(limit, "g").filter(F.col("_b") <= F.col("_limit"))
+        inside = rows.join(near(limit), "g").filter(F.col("_b") <= F.col("_limit"))
         moments = inside.groupBy("g").agg(
             F.count(F.lit(1)).alias("n"),
             *(F.sum(_NAMES[i]).alias(f"s{i}") for i in range(p)),
             *(F.sum(F.col(_NAMES[i]) * F.col(_NAMES[j])).alias(f"q{i}_{j}") for i, j in _PAIRS),
         )
         at = cut(_inverse_factor(moments, ["g"]))
-    scale = stats.join(at, "g").groupBy("g").agg(F.percentile(_bin(_distance()), F.lit(0.5)).alias("_half"))
-    return cut(at.join(scale, "g").withColumn("scale", F.greatest(F.exp(F.col("_half") / 64.0), F.lit(1e-3)) / _CHI2_MEDIAN).drop("_half"))
+    scale = stats.join(near(at), "g").groupBy("g").agg(F.percentile(_bin(_distance()), F.lit(0.5)).alias("_half"), F.count(F.lit(1)).alias("_n"))
+    least = F.when(F.col("_n") < params.min_group, _CHI2_MEDIAN).otherwise(1e-3)
+    return cut(at.join(scale, "g").withColumn("scale", F.greatest(F.exp(F.col("_half") / 64.0), least) / _CHI2_MEDIAN).drop("_half", "_n"))
 
 
 def quality_verdicts(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", params: QualityParams = QualityParams()
 ) -> DataFrame:
-    """Per row: id, counts, ``base_failed``, ``distance`` (null where no estimate judges) and ``kept``."""
+    """Per row: id, counts, ``base_failed``, ``distance`` (null where the base rules fail) and ``kept``."""
     names = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.col(source).alias("_source"))
     counted = with_counts(names, "_text", params, ["_id", "_lang", "_source"])
     rows = staged(counted.withColumns(statistics()), "quality")
     passed = rows.filter(~F.col("base_failed"))
     sizes = passed.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("n"))
-    group = F.struct(F.col("_lang"), F.when(F.col("n") >= params.min_group, F.struct(F.col("_source"))).alias("own"))
-    named = sizes.withColumn("g", F.to_json(group, {"ignoreNullFields": "false"}))
-    big = named.groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= params.min_group).select("g")
-    groups = cut(named.select("_lang", "_source", "g").join(big, "g").withColumnsRenamed({"_lang": "_l", "_source": "_s"}))
+    small = F.col("n") < params.min_group
+    langs = sizes.groupBy(F.col("_lang").alias("_l")).agg(F.sum(F.when(small, F.col("n"))).alias("rest"), F.sum("n").alias("whole"))
+    # What judges a source: 0 itself, 1 the small sources of its language, 2 its language, 3 all rows.
+    level = F.when(~small, 0).when(F.col("rest") >= params.min_group, 1).when(F.col("whole") >= params.min_group, 2).otherwise(3)
+    named = sizes.join(langs, F.col("_lang").eqNullSafe(F.col("_l"))).withColumn("level", level)
+    group = F.struct("level", F.when(F.col("level") < 3, F.struct(F.col("_lang"))).alias("lang"), F.when(F.col("level") == 0, F.struct(F.col("_source"))).alias("own"))
+    named = named.withColumn("g", F.to_json(group, {"ignoreNullFields": "false"}))
+    groups = cut(named.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), "level", "g"))
     same = F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s"))
-    stats = passed.join(groups, same).select("g", *_NAMES)
-    found = mcd(stats, params)
+    found = mcd(passed.join(groups.filter("level < 2"), same).select("g", *_NAMES), params)
+    levels = {r["level"] for r in groups.select("level").distinct().collect()}
+    wide = []
+    if 2 in levels:
+        left = groups.filter("level = 2").select("_l", "g").distinct()
+        wide.append(passed.join(F.broadcast(left), F.col("_lang").eqNullSafe(F.col("_l"))).select("g", *_NAMES))
+    if 3 in levels:
+        wide.append(passed.select(F.lit(groups.filter("level = 3").first()["g"]).alias("g"), *_NAMES))
+    for more in wide:
+        found = found.unionByName(mcd(more, params, few=True))
     judged = rows.join(groups.join(found, "g"), same, "left")
     distance = F.when(~F.col("base_failed"), _distance() / F.col("scale"))
     judged = judged.withColumn("distance", distance)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= params.cutoff, F.lit(True))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= params.cutoff, F.lit(True))  # null where the base rules fail
     return judged.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance"
     )

@@ -126,6 +126,17 @@ def test_quality_rejects_junk_and_keeps_the_rest(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_quality_judges_every_row_of_small_groups(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang IN ('en', 'de')")
+    docs = docs.withColumn("source", F.when(F.col("lang") == "en", "big").otherwise(F.col("source")))  # and few German rows
+    junk = " ".join(f"w{i} #$%|<>&*#$%|<>" for i in range(200))
+    alone = spark.createDataFrame([(10**6, junk, "en", "left over", 0), (10**6 + 1, junk, None, None, 0)], DOCS)
+    got = {r["doc_id"]: r for r in quality.quality_verdicts(docs.union(alone)).collect()}
+    assert all((r["distance"] is None) == r["base_failed"] for r in got.values())
+    assert not any(got[i]["kept"] or got[i]["base_failed"] for i in got if i >= 10**6)
+    assert sum(r["kept"] for r in got.values()) >= 0.8 * sum(not r["base_failed"] for r in got.values())
+
+
 def test_line_dedup_against_brute_force(spark):
     shared, near, rare = "this line stands on many sites", "this line stands on two sites", "short line"
     rows = [(i, f"{shared}\nown words number {i} are here\n{rare}" + (f"\n {near} " if i < 2 else ""), "en", f"s{i}", i) for i in range(6)]
