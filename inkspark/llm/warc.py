@@ -7,7 +7,9 @@ lost executor leaves no half archive.
 
 Reading (:func:`read_archive`) checks every record: framing, lengths, and the payload digest.  After a failed check it
 searches for the next member that inflates or the next version line, goes on there, and logs the bytes between as a
-quarantined gap with the reason.  A revisit's payload comes from its response by a join on the digest.
+quarantined gap with the reason.  A damaged member of several records is inflated as far as it goes, and the same search
+runs inside its content: records whose block digests fit are kept, and the member is logged with the places lost.  A
+revisit's payload comes from its response by a join on the digest.
 
 Defined cases: a null html is an empty payload, a null url an empty target; page ids must be unique to be told apart,
 repeated rows give repeated records, and rows without an id are responses; an empty table gives no archives.
@@ -102,47 +104,98 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, stop + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """A gzip member's content and its end; the member's own checksum is verified."""
+def _inflate(data: bytes) -> tuple[bytes, int | None, str]:
+    """A gzip member's content, its end and an empty reason; where the member is cut off or does not inflate to its own
+    checksum, what came out before, None and the reason."""
     engine = zlib.decompressobj(31)
     try:
-        content = engine.decompress(data[at:] if at else data)
+        content = engine.decompress(data)
     except zlib.error as error:
-        raise Damaged(f"a member does not inflate: {error}") from None
-    if not engine.eof:
-        raise Damaged("a member is cut off")
-    return content, len(data) - len(engine.unused_data)
+        return _before_error(data), None, f"a member does not inflate: {error}"
+    return (content, len(data) - len(engine.unused_data), "") if engine.eof else (content, None, "a member is cut off")
+
+
+def _before_error(data: bytes, piece: int = 4096) -> bytes:
+    """What a broken member gives before its error, to the byte."""
+    engine, out = zlib.decompressobj(31), []
+    for at in range(0, len(data), piece):
+        kept = engine.copy()
+        try:
+            out.append(engine.decompress(data[at : at + piece]))
+        except zlib.error:
+            try:
+                for k in range(at, at + piece):
+                    out.append(kept.decompress(data[k : k + 1]))
+            except zlib.error:
+                break
+    return b"".join(out)
+
+
+def _inside(content: bytes, checked: bool) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[int, int, str]]]:
+    """Records and gaps of a member's content; unless the member's checksum fits, records need a block digest."""
+    records, gaps, at = [], [], 0
+    while at < len(content):
+        try:
+            fields, block, stop = parse_record(content, at)
+            if not checked and not fields.get("warc-block-digest", "").startswith("sha1:"):
+                raise Damaged("no block digest in a damaged member")
+            records.append((fields, block))
+        except Damaged as error:
+            stop = _next_line(content, at + 1)
+            gaps.append((at, stop, str(error)))
+        at = stop
+    return records, gaps
 
 
 def read_archive(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[tuple[int, int, str]]]:
-    """Records (offset, fields, block) and quarantined gaps (start, end, reason) of an archive, gzipped or not."""
+    """Records (offset, fields, block) and quarantined gaps (start, end, reason) of an archive, gzipped or not.
+
+    Offsets in a gzipped archive are those of members; the reason names the places lost in a member's content."""
     records: list[tuple[int, dict[str, str], bytes]] = []
     gaps: list[tuple[int, int, str]] = []
     at = 0
     while at < len(data):
         begin = at
+        if data.startswith(_GZIP, at):
+            content, size, broken = _inflate(data[at : at + (1 << 30)])
+            got, lost = _inside(content, not broken)
+            if broken and not lost and len(got) < 2:
+                got = []  # the damage is in this record, where its digest does not reach
+            records += [(begin, *r) for r in got]
+            at = _next_start(data, begin + 1) if size is None else begin + size
+            if broken or lost or not content:
+                reasons = [broken or ("" if content else "an empty member"), *(f"content {a} to {b}: {why}" for a, b, why in lost)]
+                gaps.append((begin, at, "; ".join(filter(None, reasons))))
+            continue
         try:
-            if data.startswith(_GZIP, at):
-                content, stop = _inflate(data[at : at + (1 << 30)], 0)
-                stop += at
-                inner, got = 0, []
-                while inner < len(content):
-                    fields, block, inner = parse_record(content, inner)
-                    got.append((at, fields, block))
-                if not got:
-                    raise Damaged("an empty member")
-                records += got
-                at = stop
-            else:
-                fields, block, stop = parse_record(data, at)
-                records.append((at, fields, block))
-                at = stop
+            fields, block, at = parse_record(data, at)
+            records.append((begin, fields, block))
         except Damaged as error:
             at = _next_start(data, begin + 1)
             gaps.append((begin, at, str(error)))
     return records, gaps
 
 
+def _is_line(data: bytes, at: int) -> bool:
+    """Whether the version line at ``at`` begins a record: it begins a line, or the record parses."""
+    if at == 0 or data[at - 1 : at] == b"\n":
+        return True
+    try:
+        parse_record(data, at)
+        return True
+    except Damaged:
+        return False
+
+
+def _next_line(data: bytes, at: int) -> int:
+    """The next version line."""
+    while (found := data.find(b"WARC/1.", at)) >= 0:
+        if _is_line(data, found):
+            return found
+        at = found + 1
+    return len(data)
+
+
 def _next_start(data: bytes, at: int) -> int:
     """The next offset at which a record can begin: a member that inflates to a version line, or a version line."""
     while True:
@@ -150,14 +203,8 @@ def _next_start(data: bytes, at: int) -> int:
         found = min((x for x in (packed, plain) if x >= 0), default=-1)
         if found < 0:
             return len(data)
-        if found == plain:
-            if found == 0 or data[found - 1 : found] == b"\n":
-                return found
-            try:
-                parse_record(data, found)
-                return found
-            except Damaged:
-                pass
+        if found == plain and _is_line(data, found):
+            return found
         if found == packed:
             try:
                 if zlib.decompressobj(31).decompress(data[found : found + 65536], 16).startswith(b"WARC/1."):

@@ -93,6 +93,26 @@ def test_warc_salvage():
     assert warc.read_archive(b"") == ([], []) and len(warc.read_archive(b"nothing here")[1]) == 1
 
 
+def test_warc_salvage_inside_members():
+    rng = random.Random(3)
+    payloads = [bytes(rng.randrange(32, 127) for _ in range(3000)) for _ in range(8)]
+    records = [warc.record(i, f"http://{i}", p, warc.digest(p), None) for i, p in enumerate(payloads)]
+    ids = lambda found: [int(f["warc-record-id"][10:-1]) for _, f, _ in found]
+    bad = bytearray(records[3])
+    bad[-50] ^= 1
+    whole, after = warc.member(b"".join([*records[:3], bytes(bad), *records[4:7]])), warc.member(records[7])
+    found, gaps = warc.read_archive(whole + after)  # a sound member with a damaged record
+    assert ids(found) == [0, 1, 2, 4, 5, 6, 7] and [g[:2] for g in gaps] == [(0, len(whole))] and "content" in gaps[0][2]
+    packed = warc.member(b"".join(records))
+    found, gaps = warc.read_archive(packed[: len(packed) * 3 // 4])  # a cut tail
+    assert ids(found) == list(range(len(found))) and len(found) >= 5 and gaps[0][:2] == (0, len(packed) * 3 // 4)
+    wrong = packed[:-8] + bytes(4) + packed[-4:] + after  # a bad checksum
+    assert ids(warc.read_archive(wrong)[0]) == [*range(8), 7]
+    torn = packed[: len(packed) // 2] + b"\xff" * 40 + packed[len(packed) // 2 + 40 :] + after  # a stream that breaks
+    found, gaps = warc.read_archive(torn)
+    assert set(ids(found)) >= {0, 1, 2, 7} and all(block.endswith(payloads[i]) for i, (_, _, block) in zip(ids(found), found, strict=True)) and gaps
+
+
 @pytest.fixture(scope="module")
 def codec():
     return sentencepiece.Codec(sentencepiece.PieceModel.load(tokenizer_path("piece_bpe_32k.model")))
