@@ -93,6 +93,13 @@ def test_warc_salvage():
     assert warc.read_archive(b"") == ([], []) and len(warc.read_archive(b"nothing here")[1]) == 1
 
 
+def test_warc_heads_of_any_length():
+    parts = [warc.record(i, f"data:{i}," + "x" * n, b"<p>", warc.digest(b"<p>"), None) for i, n in enumerate((10, 70_000, 200_000))]
+    for data in (b"".join(parts), b"".join(map(warc.member, parts))):
+        found, gaps = warc.read_archive(data)
+        assert [len(f["warc-target-uri"]) for _, f, _ in found] == [17, 70_007, 200_007] and not gaps
+
+
 def test_warc_salvage_inside_members():
     rng = random.Random(3)
     payloads = [bytes(rng.randrange(32, 127) for _ in range(3000)) for _ in range(8)]
