@@ -2,7 +2,8 @@
 
 A rule ``host/path`` fits its host and all subdomains where the url's path starts with the rule's path; of several, the
 longest decides.  The trees are trained here from labelled urls: those that a rule decides, and those whose host names
-a product of the trade in ``SEED_TERMS``.  At most ``sample`` labelled urls are taken, those of least hash; features are
+a product of the trade in ``SEED_TERMS``.  At most ``sample`` different labelled urls are taken, those of least hash: half of
+them of each label, or more where the other label has fewer; copies of a url count once.  Features are
 length, depth, digit ratio, entropy, counts of parameters and separators, and smoothed block rates of host suffixes.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule, and is judged by the features of
@@ -160,9 +161,12 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url: str = "url", rule
     own = own.withColumn("m", matched_rule(F.col("host"), F.col("path"), rules)).select("id", "url", "host", "path", "m.rule", F.col("m.verdict").alias("ruled"))
     seeded = F.col("host").rlike("|".join(terms)) if terms else F.lit(False)
     label = F.when(seeded, 1).when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0)
-    labelled = own.filter("url IS NOT NULL").withColumn("y", label).filter("y IS NOT NULL").select("url", "host", "path", "y", F.xxhash64("url").alias("h"))
-    taken = labelled.orderBy("h", "url").limit(params.sample).select("url", "host", "path", "y").collect()  # bounded by ``sample``
-    shared = spark.sparkContext.broadcast(train([tuple(r) for r in taken], params))
+    labelled = own.filter("url IS NOT NULL").withColumn("y", label).filter("y IS NOT NULL").select("url", "host", "path", "y").distinct().withColumn("h", F.xxhash64("url"))
+    good, bad = ([tuple(r) for r in labelled.filter(F.col("y") == y).orderBy("h", "url").limit(params.sample).collect()] for y in (0, 1))  # bounded by ``sample``
+    half = params.sample // 2
+    taken = good[: max(half, params.sample - len(bad))] + bad[: max(half, params.sample - len(good))]
+    taken.sort(key=lambda r: (r[4], r[0]))
+    shared = spark.sparkContext.broadcast(train([r[:4] for r in taken], params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, rates, mean = shared.value

@@ -46,6 +46,14 @@ def test_urls(spark):
     assert got[7][:3] == ("x.com", "", None) and got[8][:3] == ("org", "", None) and got[9][2] == "org/" and got[10][:3] == ("notorg", "/", None) and got[11][:3] == ("h", "/p", None)
 
 
+def test_url_sample_is_of_different_urls_and_both_labels(spark):
+    copies = [(0, "http://common.com/fr/a")] * 400 + [(0, f"http://common.com/fr/{i}") for i in range(300)]
+    rows = copies + [(1, f"http://cheap-{i}-pills.biz/{i * 7919}") for i in range(40)] + [(2, "http://cheap-99-pls.biz/12345")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = url_filter.judge_urls(df, params=url_filter.UrlParams(sample=80)).filter("page_id = 2").first()
+    assert got["verdict"] == "block" and got["score"] > 0.8
+
+
 def test_url_model_on_held_out_urls():
     rng = random.Random(1)
     rows = []
