@@ -11,7 +11,7 @@ exact weighted similarity: the weight of shingles that window and item share ove
 The benchmark is the query set: its items are taken in blocks of at most ``block_bytes`` of text, each block against all
 documents.  Nothing of the documents is shuffled or gathered.
 
-Defined cases: null and empty texts and items match nothing; a text shorter than an item is compared as a whole; a row
+Defined cases: null and empty texts and items match nothing; items with a null id count, under a null id; a text shorter than an item is compared as a whole; a row
 per document and item gives the best window, the earliest of equals; repeated rows give one result; empty tables give an
 empty result; :func:`decontaminated` passes all columns through.
 """
@@ -133,10 +133,10 @@ def _indexes(benchmark: DataFrame, item_id: str, item_text: str, params: Deconta
     spark = benchmark.sparkSession
     size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     blocks = 1 + int(size) // params.block_bytes
-    own = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL AND i IS NOT NULL")
+    own = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL")
     out = []
     for b in range(blocks):
-        items = own.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).orderBy("i").collect()  # bounded by block_bytes
+        items = own.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i").collect()  # bounded by block_bytes
         out.append(spark.sparkContext.broadcast(ItemIndex([(r["i"], r["t"]) for r in items], params)))
     return out
 

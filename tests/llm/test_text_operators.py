@@ -202,6 +202,14 @@ def test_decontamination_edges(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in blocks.collect()) == [g[:2] for g in got]
 
 
+def test_decontamination_by_items_without_id(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    df = spark.createDataFrame([(1, f"lead {item} tail"), (2, "other words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item)], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()] == [(1, None)]
+    assert [r["doc_id"] for r in decontaminate.decontaminated(df, bench).collect()] == [2]
+
+
 def test_licenses_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs).collect()}
