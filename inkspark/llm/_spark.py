@@ -30,10 +30,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only in local mode, where that may be unset."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="inkspark-")
         _WRITTEN.append((spark, root))
     if not context.getCheckpointDir():
@@ -47,13 +49,36 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._inkspark_folder = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the folder of a staged table that no plan will read again."""
+    path = df._inkspark_folder
+    _delete(df.sparkSession, path)
+    _WRITTEN[:] = [w for w in _WRITTEN if w[1] != path]
+
+
+#: Keys with more than this share of the rows are hot: there are fewer of them than its inverse.
+HOT_SHARE = 1 / 2048
+
+
+def join_spread(rows: DataFrame, small: DataFrame, keys: list[str], count: str, total: int, how: str = "inner", share: float = HOT_SHARE) -> DataFrame:
+    """``rows`` joined with ``small`` (one row per key, ``count`` of them in ``rows``), so that no hot key meets in one task.
+
+    Hot keys (at most ``1 / share`` by their definition) are broadcast; the others go by an ordinary join.  Both tables are
+    read twice and should be staged."""
+    hot = F.col(count) > max(1.0, total * share)
+    spread, rest = F.broadcast(small.filter(hot).drop(count)), small.filter(~hot).drop(count)
+    cold = rows.join(F.broadcast(small.filter(hot).select(*keys)), keys, "left_anti")
+    return rows.join(spread, keys, how).unionByName(cold.join(rest, keys, how))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint a small table of an iteration in the shared folder."""
-    work_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write a small table of an iteration into the shared folder; unlike ``checkpoint()`` this computes it once."""
+    return staged(df, "cut")
 
 
 def tidy(spark: SparkSession) -> None:
@@ -67,12 +92,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _WRITTEN:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001, S112  the session is gone: its folder is left to whoever owns it
             continue

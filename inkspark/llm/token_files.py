@@ -12,23 +12,23 @@ All numbers are little-endian.  A document set is a sequence of files in ascendi
 are one row of a Parquet data set in the shared folder, so that Spark commits them as a whole whatever executors do and any
 file system will do; :func:`export_files` writes them out as single files where a folder is mounted.
 
-Defined cases: null and empty texts have the end id alone; null ids come first; repeated rows are kept, in any order among themselves; an empty
-table gives no files.
+The library encodes every text whole, whatever its length.  Files are told apart by (part, number), never by what they hold.
+
+Defined cases: null and empty texts have the end id alone; null ids come first; repeated rows are kept, in any order
+among themselves; a text of any length stands in one file, which is then longer than ``file_tokens``; an empty table gives
+no files; of the documents' columns only the id and the text are read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,139 +102,83 @@ class TokenFile:
 class TokenParams:
     end_id: int = 2
     file_tokens: int = 1 << 20
-    cache: int = 600_000  # different pieces that a worker remembers
-
+    batch_chars: int = 1 << 20  # of texts handed to the library at a time; a longer text goes alone
 
-class WordEncoder:
-    """A tokenizer that encodes each different piece of text once per worker.
 
-    Its pre-tokenizer cuts a normalised text into contractions, runs of letters, single digits and runs of other signs.  The
-    same cuts are made here, the library encodes the pieces it has not seen, many at a time, and the ids of a text are
-    put together by array operations.  Texts for which cutting before normalising could differ (not in NFC, the
-    letter U+0130, or what may hold a special token) go to the library whole; so do all texts if the tokenizer fails a
-    test of these rules (``cuts``).
-    """
+class TextEncoder:
+    """The tokenizers library over whole texts, many at a time."""
 
-    _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-    _PIECES = regex.compile(r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-    _PROBE = ("a b", "it 's", "1 2", "! ?", "a\nb", "Hello, World!", "x12y", "(a)", "Été.", "AbC-dEf", "12,5", "naïve?!", "a  b", "", "DON'T we'll", "'tis ''s", "½①")
-
-    def __init__(self, path: str, cache: int):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side already
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.cache, self.cuts = cache, True
-        self._clear()
-        self.cuts = all(np.array_equal(got, self._whole(t)) for got, t in zip(self.encode_all(list(self._PROBE)), self._PROBE, strict=True))
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool = np.empty(1 << 16, np.uint32)
-        self.bounds = np.zeros(1 << 14, np.int64)
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _pieces(self, text: str) -> list[str] | None:
-        if not self.cuts or "<|" in text:
-            return None
-        if text.isascii():
-            return self._ASCII.findall(text.lower())
-        if "\u0130" in text or not unicodedata.is_normalized("NFC", text):
-            return None
-        return self._PIECES.findall(text)
-
-    def _learn(self, fresh: list[str]) -> None:
-        for k in range(0, len(fresh), 1000):
-            part = fresh[k : k + 1000]
-            joined = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, words = np.array(joined.ids, np.uint32), np.array(joined.word_ids, np.int64)
-            sizes = np.bincount(words, minlength=len(part)) if len(words) else np.zeros(len(part), np.int64)
-            if len(sizes) != len(part):  # a piece that is cut further: one by one
-                each = [self._whole(p) for p in part]
-                ids, sizes = np.concatenate(each), np.array([len(e) for e in each])
-            n, begin = len(self.known), int(self.bounds[len(self.known)])
-            while n + len(part) + 1 > len(self.bounds):
-                self.bounds = np.concatenate((self.bounds, np.zeros(len(self.bounds), np.int64)))
-            while begin + len(ids) > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.empty(len(self.pool), np.uint32)))
-            self.pool[begin : begin + len(ids)] = ids
-            self.bounds[n + 1 : n + 1 + len(part)] = begin + np.cumsum(sizes)
-            self.known.update(zip(part, range(n, n + len(part)), strict=True))
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        cut = [self._pieces(t) for t in texts]
-        every = set().union(*(pieces for pieces in cut if pieces))
-        fresh = list(every.difference(self.known))
-        if len(self.known) + len(fresh) > self.cache and self.known:
-            self._clear()
-            fresh = list(every)
-        self._learn(fresh)
-        out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
-                out.append(self._whole(text))
-                continue
-            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-            begins, sizes = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
-            ends = np.cumsum(sizes)
-            out.append(self.pool[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
-
-
-_ENCODERS: dict[tuple, WordEncoder] = {}
+
+    def encode_all(self, texts: list[str], batch_chars: int) -> Iterator[np.ndarray]:
+        """Ids of each text, in order; texts go to the library in lists of about ``batch_chars``, equal ones of a list once."""
+        first = 0
+        while first < len(texts):
+            last, size = first, 0
+            while last < len(texts) and (last == first or size + len(texts[last]) <= batch_chars):
+                size += len(texts[last])
+                last += 1
+            part = list(dict.fromkeys(texts[first:last]))
+            got = {t: np.array(e.ids, np.uint32) for t, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True)}
+            yield from (got[t] for t in texts[first:last])
+            first = last
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
+_FILES = "part int, number int, first_id long, last_id long, n_documents long, n_tokens long, data binary"
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", params: TokenParams = TokenParams()) -> DataFrame:
-    """Files of the documents in ascending order of ids: (first_id, last_id, n_documents, n_tokens, data)."""
+    """Files of the documents in ascending order of ids: (part, number, first_id, last_id, n_documents, n_tokens, data).
+
+    ``part`` is the range of ids and ``number`` the file's place in it, so the two order all files and are different
+    for each, whatever the files hold."""
     prepare(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (tokenizer_path, params.cache)
-        encoder = _ENCODERS.get(key)
-        if encoder is None:
-            encoder = _ENCODERS[key] = WordEncoder(tokenizer_path, params.cache)
+        from pyspark import TaskContext
+
+        encoder = _ENCODERS.setdefault(tokenizer_path, None) or TextEncoder(tokenizer_path)
+        _ENCODERS[tokenizer_path] = encoder
         width = width_for(encoder.tokenizer.get_vocab_size())
-        ids: list[int] = []
-        counts: list[int] = []
-        parts: list[np.ndarray] = []
-        size = 0
+        part = TaskContext.get().partitionId()
+        number, size = 0, 0
+        ids: list[int | None] = []
+        held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            data = write_file(ids, counts, np.concatenate(parts), width)
-            row = [[ids[0]], [ids[-1]], [len(ids)], [size], [data]]
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["first_id", "last_id", "n_documents", "n_tokens", "data"])
+            data = write_file(ids, [len(x) for x in held], np.concatenate(held), width)
+            row = [part, number, ids[0], ids[-1], len(ids), size, data]
+            kinds = [pa.int32()] * 2 + [pa.int64()] * 4 + [pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in _FILES.split(", ")])
 
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, got in zip(batch.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
-                part = np.append(got, np.uint32(params.end_id))
+            for doc_id, got in zip(batch.column(0).to_pylist(), encoder.encode_all(texts, params.batch_chars), strict=True):
                 ids.append(doc_id)
-                counts.append(len(part))
-                parts.append(part)
-                size += len(part)
+                held.append(np.append(got, np.uint32(params.end_id)))
+                size += len(held[-1])
                 if size >= params.file_tokens:
                     yield flush()
-                    ids, counts, parts, size = [], [], [], 0
+                    ids, held, size, number = [], [], 0, number + 1
         if ids:
             yield flush()
 
     ordered = own.repartitionByRange("id").sortWithinPartitions("id")
-    return staged(ordered.mapInArrow(run, "first_id long, last_id long, n_documents long, n_tokens long, data binary"), "tokens")
+    return staged(ordered.mapInArrow(run, _FILES), "tokens")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     prepare(files.sparkSession)
-    # Where files begin: a running sum over ranges of files, then within each, so that no task meets all of them.
-    heads = files.select("first_id", "last_id", "n_tokens", F.xxhash64("data").alias("h"))
-    starts = staged(_running(heads), "starts")
+    starts = staged(_running(files.select("part", "number", "n_tokens")), "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,42 +190,35 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    keys = ["first_id", "last_id", "h"]
-    hashed = files.withColumn("h", F.xxhash64("data"))
-    same = [hashed[k].eqNullSafe(starts[k]) for k in keys]
-    placed = hashed.join(starts, same[0] & same[1] & same[2])
-    return placed.select("base", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.join(starts, ["part", "number"]).select("base", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _running(heads: DataFrame) -> DataFrame:
-    """``base``: tokens of all files before each, in order of (first_id, last_id, h)."""
-    order = ["first_id", "last_id", "h"]
-    parted = staged(heads.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "heads")
-    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = parted.groupBy("part").agg(F.sum("n_tokens").alias("t"), F.min("first_id").alias("low"))
-    # One row per partition, whose number the session bounds.
-    over = Window.orderBy("low", "part").rowsBetween(Window.unboundedPreceding, -1)
+    """``base``: tokens of all files before each; a sum over parts, then within each, so that no task meets all files."""
+    inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    totals = heads.groupBy("part").agg(F.sum("n_tokens").alias("t"))
+    # One row per part, whose number the session's shuffle partitions bound.
+    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("part", F.coalesce(F.sum("t").over(over), F.lit(0)).alias("before"))
-    return parted.join(before, "part").select(*order, (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("base"))
+    return heads.join(before, "part").select("part", "number", (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("base"))
 
 
 def export_files(files: DataFrame, folder: str) -> DataFrame:
-    """Write each file's bytes as ``<first_id>-<last_id>.iktb`` into a mounted folder, complete or not at all."""
+    """Write each file's bytes as ``<part>-<number>.iktb`` into a mounted folder, complete or not at all."""
     prepare(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
         import uuid
 
         for batch in batches:
             names = []
-            for low, high, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                name = os.path.join(folder, f"{low.as_py():020d}-{high.as_py():020d}.iktb")
-                part = f"{name}.{uuid.uuid4().hex}"
-                with open(part, "wb") as out:
+            for part, number, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                name = os.path.join(folder, f"{part.as_py():06d}-{number.as_py():06d}.iktb")
+                unfinished = f"{name}.{uuid.uuid4().hex}"
+                with open(unfinished, "wb") as out:
                     out.write(data.as_py())
-                os.replace(part, name)
+                os.replace(unfinished, name)
                 names.append(name)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["path"])
 
-    return files.select("first_id", "last_id", "data").mapInArrow(run, "path string")
+    return files.select("part", "number", "data").mapInArrow(run, "path string")
