@@ -11,14 +11,16 @@ quarantined gap with the reason.  A damaged member of several records is inflate
 runs inside its content: records whose block digests fit are kept, and the member is logged with the places lost.  A
 revisit's payload comes from its response by a join on the digest.
 
-Defined cases: a null html is an empty payload, a null url an empty target; page ids must be unique to be told apart,
-repeated rows give repeated records, and rows without an id are responses; an empty table gives no archives.
+Defined cases: a null html is an empty payload, a null url an empty target; control characters of a url are written as
+%XX; urls and payloads have no greatest length; page ids must be unique to be told apart, repeated rows give repeated
+records, and rows without an id are responses; an empty table gives no archives; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -51,6 +53,10 @@ def _urn(page_id: int | None) -> bytes:
     return b"<urn:page:null>" if page_id is None else b"<urn:page:%d>" % page_id
 
 
+#: A head's line cannot hold these; they are written as %XX.
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
+
+
 def record(page_id: int | None, url: str, payload: bytes, sha1: str, refers_to: int | None) -> bytes:
     """One record with its HTTP head; a revisit has the head alone."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -59,7 +65,7 @@ def record(page_id: int | None, url: str, payload: bytes, sha1: str, refers_to:
         (b"WARC-Type", b"response" if refers_to is None else b"revisit"),
         (b"WARC-Record-ID", _urn(page_id)),
         (b"WARC-Date", _DATE),
-        (b"WARC-Target-URI", "".join(c for c in url if c >= " ").encode()),
+        (b"WARC-Target-URI", _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url).encode()),
         (b"Content-Type", b"application/http; msgtype=response"),
         (b"WARC-Payload-Digest", b"sha1:" + sha1.encode()),
         (b"WARC-Block-Digest", b"sha1:" + digest(block).encode()),
@@ -104,31 +110,29 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, stop + 4
 
 
-def _inflate(data: bytes) -> tuple[bytes, int | None, str]:
-    """A gzip member's content, its end and an empty reason; where the member is cut off or does not inflate to its own
-    checksum, what came out before, None and the reason."""
-    engine = zlib.decompressobj(31)
-    try:
-        content = engine.decompress(data)
-    except zlib.error as error:
-        return _before_error(data), None, f"a member does not inflate: {error}"
-    return (content, len(data) - len(engine.unused_data), "") if engine.eof else (content, None, "a member is cut off")
+_PIECE = 1 << 16
 
 
-def _before_error(data: bytes, piece: int = 4096) -> bytes:
-    """What a broken member gives before its error, to the byte."""
-    engine, out = zlib.decompressobj(31), []
-    for at in range(0, len(data), piece):
+def _inflate(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """Of the gzip member at ``at``: its content, its end and an empty reason; where it is cut off or does not inflate to
+    its own checksum, what came out before, None and the reason.  Bytes behind the member are not touched."""
+    engine, view, out, fed = zlib.decompressobj(31), memoryview(data), [], at
+    while fed < len(data):
+        piece = view[fed : fed + (_PIECE if fed > at else 4096)]
         kept = engine.copy()
         try:
-            out.append(engine.decompress(data[at : at + piece]))
-        except zlib.error:
-            try:
-                for k in range(at, at + piece):
-                    out.append(kept.decompress(data[k : k + 1]))
+            out.append(engine.decompress(piece))
+        except zlib.error as error:
+            try:  # to the byte before the error
+                for k in range(len(piece)):
+                    out.append(kept.decompress(piece[k : k + 1]))
             except zlib.error:
-                break
-    return b"".join(out)
+                pass
+            return b"".join(out), None, f"a member does not inflate: {error}"
+        fed += len(piece)
+        if engine.eof:
+            return b"".join(out), fed - len(engine.unused_data), ""
+    return b"".join(out), None, "a member is cut off"
 
 
 def _inside(content: bytes, checked: bool) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[int, int, str]]]:
@@ -157,12 +161,12 @@ def read_archive(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]],
     while at < len(data):
         begin = at
         if data.startswith(_GZIP, at):
-            content, size, broken = _inflate(data[at : at + (1 << 30)])
+            content, stop, broken = _inflate(data, at)
             got, lost = _inside(content, not broken)
             if broken and not lost and len(got) < 2:
                 got = []  # the damage is in this record, where its digest does not reach
             records += [(begin, *r) for r in got]
-            at = _next_start(data, begin + 1) if size is None else begin + size
+            at = _next_start(data, begin + 1) if stop is None else stop
             if broken or lost or not content:
                 reasons = [broken or ("" if content else "an empty member"), *(f"content {a} to {b}: {why}" for a, b, why in lost)]
                 gaps.append((begin, at, "; ".join(filter(None, reasons))))
@@ -196,22 +200,22 @@ def _next_line(data: bytes, at: int) -> int:
     return len(data)
 
 
+_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+
+
 def _next_start(data: bytes, at: int) -> int:
     """The next offset at which a record can begin: a member that inflates to a version line, or a version line."""
-    while True:
-        packed, plain = data.find(_GZIP, at), data.find(b"WARC/1.", at)
-        found = min((x for x in (packed, plain) if x >= 0), default=-1)
-        if found < 0:
-            return len(data)
-        if found == plain and _is_line(data, found):
-            return found
-        if found == packed:
-            try:
-                if zlib.decompressobj(31).decompress(data[found : found + 65536], 16).startswith(b"WARC/1."):
-                    return found
-            except zlib.error:
-                pass
-        at = found + 1
+    for found in _START.finditer(data, at):
+        if found[0] != _GZIP:
+            if _is_line(data, found.start()):
+                return found.start()
+            continue
+        try:
+            if zlib.decompressobj(31).decompress(memoryview(data)[found.start() : found.start() + _PIECE], 16).startswith(b"WARC/1."):
+                return found.start()
+        except zlib.error:
+            continue
+    return len(data)
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", params: WarcParams = WarcParams()) -> DataFrame:
@@ -247,50 +251,61 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url",
     return staged(marked.mapInArrow(run, "first_id long, n_records long, data binary"), "archives")
 
 
+_READ = "page_id long, uri string, record_type string, refers_to long, payload_digest string, payload_bytes long, sound boolean, payload binary, gap_start long, gap_end long, reason string"
+
+
 def read_archives(archives: DataFrame, data: str = "data", keep_payload: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Records and gaps of archives (any rows with a binary column, such as ``binaryFile``'s ``content``).
+    """Records and gaps of archives (any rows with a binary column, such as ``binaryFile``'s ``content``), parsed once.
 
     Records: page_id, uri, record_type, refers_to, payload_digest, payload_bytes (of the record itself), ``sound`` (its
-    digest fits its payload; a revisit has none to check) and, with ``keep_payload``, payload.
+    digest fits its payload; a revisit has none to check) and, with ``keep_payload``, payload.  Gaps: gap_start, gap_end,
+    reason.
     """
     prepare(archives.sparkSession)
-    own = archives.select(F.col(data).alias("data"))
+    names = [c.split()[0] for c in _READ.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
 
     def number(value: str | None) -> int | None:
         tail = (value or "").rstrip(">").rpartition(":")[2]
         return int(tail) if tail.lstrip("-").isdigit() else None
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cell in batch.column(0):
+                records, gaps = read_archive(cell.as_py() or b"")
                 rows = []
-                for _, f, block in read_archive(cell.as_py())[0]:
+                for _, f, block in records:
                     kind = f.get("warc-type")
                     if kind not in ("response", "revisit"):
                         continue
                     payload = block.partition(b"\r\n\r\n")[2]
                     want = f.get("warc-payload-digest", "").removeprefix("sha1:")
                     sound = kind == "revisit" or want == digest(payload)
-                    rows.append((number(f.get("warc-record-id")), f.get("warc-target-uri"), kind, number(f.get("warc-refers-to")), want, len(payload), sound, payload if keep_payload else None))
-                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(8)]
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "uri", "record_type", "refers_to", "payload_digest", "payload_bytes", "sound", "payload"])
-
-    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, cell in enumerate(batch.column(0)):
-                found = read_archive(cell.as_py())[1]
-                columns = list(zip(*found, strict=True)) if found else [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["gap_start", "gap_end", "reason"])
+                    rows.append((number(f.get("warc-record-id")), f.get("warc-target-uri"), kind, number(f.get("warc-refers-to")), want, len(payload), sound, payload if keep_payload else None, None, None, None))
+                rows += [(None,) * 8 + gap for gap in gaps]
+                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    schema = "page_id long, uri string, record_type string, refers_to long, payload_digest string, payload_bytes long, sound boolean, payload binary"
-    return own.mapInArrow(records, schema), own.mapInArrow(gaps, "gap_start long, gap_end long, reason string")
+    read = staged(archives.select(F.col(data).alias("data")).mapInArrow(run, _READ), "records")
+    return read.filter("record_type IS NOT NULL").select(*names[:8]), read.filter("record_type IS NULL").select(*names[8:])
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Per record its full payload's size and digest; a revisit takes both from its response."""
-    rows = staged(records.filter("sound").drop("payload", "uri"), "records")
-    answers = rows.filter("record_type = 'response'").select(F.col("page_id").alias("to"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n")).dropDuplicates(["to"])
-    revisits = rows.filter("record_type = 'revisit'").join(answers, F.col("refers_to") == F.col("to")).filter(F.col("payload_digest") == F.col("d"))
-    revisits = revisits.select("page_id", F.col("n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
-    return rows.filter("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").union(revisits)
+    """Per record its full payload's size and digest; a revisit takes both from its response.
+
+    No record is left out: where a payload does not fit its digest, or the response of a revisit is not there, both are
+    null."""
+    rows = records.select("page_id", F.when(F.col("sound"), F.col("payload_bytes")).alias("n"), F.when(F.col("sound"), F.col("payload_digest")).alias("d"), "payload_digest", "record_type", "refers_to")
+    answers = rows.filter("record_type = 'response'").groupBy(F.col("page_id").alias("to"), F.col("d").alias("of")).agg(F.max("n").alias("size"))
+    own = rows.filter("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to")
+    back = rows.filter("record_type = 'revisit'").join(answers, (F.col("refers_to") == F.col("to")) & (F.col("payload_digest") == F.col("of")), "left")
+    return own.union(back.select("page_id", "size", "of", "record_type", "refers_to"))
+
+
+def expect_whole(records: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``records``, or an error if bytes were quarantined or a payload does not fit its digest: for archives written here."""
+    lost = gaps.limit(1).collect()
+    torn = records.filter(~F.col("sound")).limit(1).select("page_id").collect()
+    if lost or torn:
+        raise ValueError(f"the archives are damaged: {(lost or torn)[0]}")
+    return records
