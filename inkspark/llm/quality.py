@@ -4,33 +4,46 @@ Each document gets counts (:func:`base_counts`), the counts become a vector of t
 (:func:`statistics`), and per language and source a minimum-covariance-determinant estimate of centre and scatter
 (:func:`mcd`) gives the Mahalanobis distance beyond which a document is rejected.
 
+The estimate starts from three subsets (those nearest to the medians by the sum of squares, the greatest and the sum of
+standardised deviations), takes two concentration steps from each, goes on from the one of least determinant, and ends
+when no step makes a determinant smaller (``max_steps`` at most).  Every scatter has the squares of the least deviations
+in ``STATISTICS`` added to its diagonal.  A source's estimate is drawn towards its language's as by ``prior`` more documents
+like it, a language's towards that of all documents; so every source has its own estimate, and one of few documents is
+judged nearly by its language.  Distances are scaled so that their median and upper quartile are those of chi-square, their logs
+being drawn towards the parent's in the same way; a quartile nearer to the median than chi-square's is not stretched.
+Beyond chi-square's quantile ``tail`` a document is rejected.
+
 Every statistic is a fixed-point integer, and every sum that the estimate needs is a sum of such integers, so the
 verdicts do not depend on how the rows were dealt out.  State per group is bounded: sums, and quantiles of integers with
 a bounded number of different values.
 
 Defined cases: a null text counts as empty and fails the base rules; null language or source are groups like others;
-equal rows get equal verdicts; an empty table gives an empty result; other columns pass through :func:`quality_filter`.
-A group of fewer than ``min_group`` rows joins the other small groups of its language; where these are too few as well,
-the estimate is that of all rows of the language, and where the language has too few, that of all rows.  Every row that
-passes the base rules has a distance; in a table of fewer than ``min_group`` such rows it is not scaled up.
+texts of any length are counted whole; equal rows get equal verdicts; an empty table gives an empty result; of
+the documents' columns only id, text, language and source are read, so other names cannot clash, and all columns pass through
+:func:`quality_filter`.  Every row that passes the base rules has a distance, however small its group.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import WORD, cut, let, staged
+from ._spark import cut, join_spread, let, staged
 
-#: Statistics, and the least standard deviation taken for each (natural logs and square roots of shares).
+#: Statistics, and the deviation whose square is added to the variance of each (natural logs and square roots of shares).
 STATISTICS = {"log_words": 0.7, "log_word_length": 0.06, "symbol_share": 0.05, "dup_lines": 0.4, "repeats": 0.3}
 _UNIT = 1024  # fixed point
 _NAMES = list(STATISTICS)
 _PAIRS = [(i, j) for i in range(len(_NAMES)) for j in range(i + 1)]
-#: The median of chi-square with five degrees of freedom.
-_CHI2_MEDIAN = 4.351
+#: Chi-square with five degrees of freedom: its quantiles.
+_CHI2 = {0.5: 4.351, 0.75: 6.626, 0.975: 12.833, 0.99: 15.086, 0.999: 20.515, 0.9999: 25.745}
+_SPREAD = math.log(_CHI2[0.75] / _CHI2[0.5])
+_LOG_BINS = 64  # of distances, to a factor e
+#: Estimates that are broadcast; a row of one takes about 400 bytes.
+_FEW_GROUPS = 20_000
 
 
 @dataclass(frozen=True)
@@ -38,9 +51,9 @@ class QualityParams:
     min_words: int = 50
     max_repeat_percent: int = 50
     subset: float = 0.75  # share of a group that the estimate covers
-    steps: int = 4  # concentration steps
-    min_group: int = 50
-    cutoff: float = 115.0  # squared distance, scaled so that its median is chi-square's
+    max_steps: int = 12  # concentration steps after the starts' two
+    prior: float = 200.0  # documents that a parent's estimate counts for: one document cannot widen its own group's scatter by more
+    tail: float = 0.999  # a key of ``_CHI2``
 
 
 def base_counts(text: Column) -> dict[str, Column]:
@@ -113,86 +126,115 @@ def statistics() -> dict[str, Column]:
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance of the statistics from ``centre`` under the inverse Cholesky factor ``factor``."""
-    total = F.lit(0.0)
-    for i in range(len(_NAMES)):
-        z = F.lit(0.0)
-        for k, (row, j) in enumerate(_PAIRS):
-            if row == i:
-                z = z + F.col("factor")[k] * (F.col(_NAMES[j]) - F.col("centre")[j])
-        total = total + z * z
-    return total
+    """Squared Mahalanobis distance of the statistics from ``centre`` by the ``inverse`` of the scatter (its lower half, doubled
+    off the diagonal).  Long sums are given as SQL text: one call each instead of one for every operation."""
+    x = [f"({n} - centre[{i}])" for i, n in enumerate(_NAMES)]
+    return F.expr(" + ".join(f"inverse[{k}] * {x[i]} * {x[j]}" for k, (i, j) in enumerate(_PAIRS)))
 
 
 def _bin(distance: Column) -> Column:
     """A fixed logarithmic scale, so that quantiles of distances need few different values."""
-    return F.round(64 * F.log(distance + 1e-6)).cast("int")
+    return F.round(_LOG_BINS * F.log(F.greatest(distance, F.lit(0.0)) + 1e-6)).cast("int")
 
 
-def _inverse_factor(moments: DataFrame, key: list[str]) -> DataFrame:
-    """Centre and inverse Cholesky factor of each group's moments, with the least deviations added on the diagonal."""
-    p = len(_NAMES)
-    df = moments.withColumn("centre", F.array(*(F.col(f"s{i}") / F.col("n") for i in range(p))))
-    floor = [(d * _UNIT) ** 2 for d in STATISTICS.values()]
-    cov = {
-        f"c{i}_{j}": F.col(f"q{i}_{j}") / F.col("n") - F.col("centre")[i] * F.col("centre")[j] + (floor[i] if i == j else 0.0)
-        for i, j in _PAIRS
-    }
-    df = df.withColumns(cov)
-    for j in range(p):  # the factor, column by column
-        pivot = F.col(f"c{j}_{j}")
-        for k in range(j):
-            pivot = pivot - F.col(f"l{j}_{k}") * F.col(f"l{j}_{k}")
-        df = df.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(pivot, F.lit(floor[j] / 4))))
-        below = {}
-        for i in range(j + 1, p):
-            value = F.col(f"c{i}_{j}")
-            for k in range(j):
-                value = value - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            below[f"l{i}_{j}"] = value / F.col(f"l{j}_{j}")
-        if below:
-            df = df.withColumns(below)
-    for i in range(p):  # its inverse, row by row
-        row = {f"m{i}_{i}": 1 / F.col(f"l{i}_{i}")}
-        for j in range(i):
-            value = F.lit(0.0)
-            for k in range(j, i):
-                value = value + F.col(f"l{i}_{k}") * F.col(f"m{k}_{j}")
-            row[f"m{i}_{j}"] = -value / F.col(f"l{i}_{i}")
-        df = df.withColumns(row)
-    return df.select(*key, "centre", F.array(*(F.col(f"m{i}_{j}") for i, j in _PAIRS)).alias("factor"))
-
-
-def mcd(stats: DataFrame, params: QualityParams, few: bool = False) -> DataFrame:
-    """Per group ``g``: centre, inverse factor and the scale of squared distances, by concentration steps from a
-    coordinatewise robust start (median and median absolute deviation).  Tables of ``few`` groups are broadcast, so that
-    a group of all rows is not gathered."""
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    sums = [f"sum({n}) AS s{i}" for i, n in enumerate(_NAMES)] + [f"sum({_NAMES[i]} * {_NAMES[j]}) AS q{i}_{j}" for i, j in _PAIRS]
+    return rows.groupBy(*keys).agg(*(F.expr(x) for x in ["count(1) AS n", *sums]))
+
+
+def _estimate(moments: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Centre, inverse scatter, log determinant and second moments, from a subset's sums and the parent's share.
+
+    The scatter is swept pivot by pivot; when all are swept, it is the inverse with its sign changed."""
     p = len(_NAMES)
-    near = F.broadcast if few else (lambda df: df)
-    middle = stats.groupBy("g").agg(*(F.percentile(n, F.lit(0.5)).alias(f"med_{n}") for n in _NAMES))
-    spread = stats.join(near(middle), "g").groupBy("g").agg(
+    centre = ", ".join(f"(s{i} + weight * p_centre[{i}]) / (n + weight)" for i in range(p))
+    second = ", ".join(f"(q{i}_{j} + weight * p_second[{k}]) / (n + weight)" for k, (i, j) in enumerate(_PAIRS))
+    df = moments.join(groups, "g").selectExpr(*keys, "rows", f"array({centre}) AS centre", f"array({second}) AS second")
+    added = [(d * _UNIT) ** 2 for d in STATISTICS.values()]
+    at = {pair: k for k, pair in enumerate(_PAIRS)}
+    scatter = ", ".join(f"second[{at[max(i, j), min(i, j)]}] - centre[{i}] * centre[{j}] + {added[i] if i == j else 0.0!r}D" for i in range(p) for j in range(p))
+    pivot = f"m.a[k * {p} + k]"
+    cell = (
+        f"CASE WHEN c = k * {p} + k THEN -1D / {pivot} WHEN c DIV {p} = k OR c % {p} = k THEN x / {pivot} "
+        f"ELSE x - m.a[int(c DIV {p}) * {p} + k] * m.a[k * {p} + c % {p}] / {pivot} END"
+    )
+    swept = f"aggregate(sequence(0, {p - 1}), struct(array({scatter}) AS a, 0D AS log_det), (m, k) -> struct(transform(m.a, (x, c) -> {cell}) AS a, m.log_det + ln({pivot}) AS log_det))"
+    inverse = ", ".join(f"{-1 if i == j else -2} * swept.a[{i * p + j}]" for i, j in _PAIRS)
+    return df.selectExpr("*", f"{swept} AS swept").selectExpr(*keys, "rows", "centre", f"array({inverse}) AS inverse", "second", "swept.log_det AS log_det")
+
+
+def mcd(stats: DataFrame, groups: DataFrame, params: QualityParams) -> DataFrame:
+    """Per group: centre, inverse scatter, second moments, and ``middle`` and ``spread`` of the logs of squared distances.
+
+    ``stats`` has the group ``g`` and the statistics; ``groups`` has per group its number of ``rows`` and what its parent gives:
+    ``weight`` (in documents), ``p_centre``, ``p_second``, ``p_middle`` and ``p_spread``."""
+    size = groups.agg(F.count(F.lit(1)).alias("k"), F.sum("rows").alias("n")).first()
+    few, total = size["k"] <= _FEW_GROUPS, size["n"] or 0
+
+    def attach(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+        if few:  # a count that was checked
+            return rows.join(F.broadcast(small.drop("rows")), keys)
+        return join_spread(rows, small, keys, "rows", total)
+
+    def concentrate(at: DataFrame, keys: list[str]) -> DataFrame:
+        rows = attach(stats, at.select(*keys, "rows", "centre", "inverse"), ["g"]).select(*keys, *_NAMES, _bin(_distance()).alias("_b"))
+        limit = rows.groupBy(*keys).agg(F.percentile("_b", F.lit(params.subset)).alias("_limit"), F.count(F.lit(1)).alias("rows"))
+        return _estimate(_moments(attach(rows, limit, keys).filter("_b <= _limit"), keys), groups, keys)
+
+    middle = stats.groupBy("g").agg(*(F.percentile(n, F.lit(0.5)).alias(f"med_{n}") for n in _NAMES), F.count(F.lit(1)).alias("rows"))
+    spread = attach(stats, middle, ["g"]).groupBy("g").agg(
         *(F.max(f"med_{n}").alias(f"med_{n}") for n in _NAMES),
         *(F.percentile(F.abs(F.col(n) - F.col(f"med_{n}")).cast("long"), F.lit(0.5)).alias(f"mad_{n}") for n in _NAMES),
+        F.count(F.lit(1)).alias("rows"),
     )
-    sd = [F.greatest(1.4826 * F.col(f"mad_{n}"), F.lit(d * _UNIT)) for n, d in STATISTICS.items()]
-    at = cut(spread.select(
-        "g",
-        F.array(*(F.col(f"med_{n}") for n in _NAMES)).alias("centre"),
-        F.array(*((1 / sd[i]) if i == j else F.lit(0.0) for i, j in _PAIRS)).alias("factor"),
+    spread = cut(spread)
+    z = [F.abs(F.col(n) - F.col(f"med_{n}")) / F.greatest(1.4826 * F.col(f"mad_{n}"), F.lit(d * _UNIT)) for n, d in STATISTICS.items()]
+    starts = [sum((x * x for x in z[1:]), z[0] * z[0]), F.greatest(*z), sum(z[1:], z[0])]
+    rows = attach(stats, spread, ["g"]).select("g", *_NAMES, *(_bin(x).alias(f"_b{k}") for k, x in enumerate(starts)))
+    limits = rows.groupBy("g").agg(*(F.percentile(f"_b{k}", F.lit(params.subset)).alias(f"_l{k}") for k in range(len(starts))), F.count(F.lit(1)).alias("rows"))
+    inside = F.filter(F.array(*(F.when(F.col(f"_b{k}") <= F.col(f"_l{k}"), F.lit(k)) for k in range(len(starts)))), lambda k: k.isNotNull())
+    rows = attach(rows, limits, ["g"]).select("g", *_NAMES, F.explode(inside).alias("start"))
+    at = cut(_estimate(_moments(rows, ["g", "start"]), groups, ["g", "start"]))
+    for _ in range(2):
+        at = cut(concentrate(at, ["g", "start"]))
+    names = ["rows", "centre", "inverse", "second", "log_det"]
+    at = cut(at.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("log_det", "start")).alias("b")).select("g", "b.*"))
+    for _ in range(params.max_steps):
+        more = concentrate(at, ["g"])
+        both = at.join(more.select("g", *(F.col(n).alias(f"n_{n}") for n in names)), "g")
+        better = F.col("n_log_det") < F.col("log_det") - 1e-6
+        both = cut(both.select("g", better.alias("better"), *(F.when(better, F.col(f"n_{n}")).otherwise(F.col(n)).alias(n) for n in names)))
+        at = both.drop("better")
+        if not both.agg(F.max("better")).first()[0]:
+            break
+    far = attach(stats, at.select("g", "rows", "centre", "inverse"), ["g"]).select("g", _bin(_distance()).alias("_b"))
+    scale = far.groupBy("g").agg(F.percentile("_b", F.lit(0.5)).alias("_half"), F.percentile("_b", F.lit(0.75)).alias("_upper"))
+    drawn = lambda own, parent: (F.col("rows") * own + F.col("weight") * F.col(parent)) / (F.col("rows") + F.col("weight"))
+    found = at.drop("rows").join(scale, "g").join(groups, "g")
+    return cut(found.select(
+        "g", "centre", "inverse", "second",
+        drawn(F.col("_half") / _LOG_BINS, "p_middle").alias("middle"),
+        drawn((F.col("_upper") - F.col("_half")) / _LOG_BINS, "p_spread").alias("spread"),
     ))
-    for _ in range(params.steps):
-        rows = stats.join(near(at), "g").select("g", *_NAMES, _bin(_distance()).alias("_b"))
-        limit = rows.groupBy("g").agg(F.percentile("_b", F.lit(params.subset)).alias("_limit"))
-        inside = rows.join(near(limit), "g").filter(F.col("_b") <= F.col("_limit"))
-        moments = inside.groupBy("g").agg(
-            F.count(F.lit(1)).alias("n"),
-            *(F.sum(_NAMES[i]).alias(f"s{i}") for i in range(p)),
-            *(F.sum(F.col(_NAMES[i]) * F.col(_NAMES[j])).alias(f"q{i}_{j}") for i, j in _PAIRS),
-        )
-        at = cut(_inverse_factor(moments, ["g"]))
-    scale = stats.join(near(at), "g").groupBy("g").agg(F.percentile(_bin(_distance()), F.lit(0.5)).alias("_half"), F.count(F.lit(1)).alias("_n"))
-    least = F.when(F.col("_n") < params.min_group, _CHI2_MEDIAN).otherwise(1e-3)
-    return cut(at.join(scale, "g").withColumn("scale", F.greatest(F.exp(F.col("_half") / 64.0), least) / _CHI2_MEDIAN).drop("_half", "_n"))
+
+
+def estimates(passed: DataFrame, params: QualityParams) -> DataFrame:
+    """Estimates of all documents, then of languages, then of sources: (_l, _s, centre, inverse, middle, spread)."""
+    key = lambda *names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    sizes = cut(passed.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("rows")).withColumns({"l": key("_lang"), "s": key("_lang", "_source")}))
+    none = {"weight": F.lit(0.0), "p_centre": F.array(*[F.lit(0.0)] * len(_NAMES)), "p_second": F.array(*[F.lit(0.0)] * len(_PAIRS)), "p_middle": F.lit(0.0), "p_spread": F.lit(0.0)}
+    groups = sizes.groupBy(F.lit("all").alias("g")).agg(F.sum("rows").alias("rows")).withColumns(none)
+    found = mcd(passed.select(F.lit("all").alias("g"), *_NAMES), groups, params)
+
+    def children(groups: DataFrame, of: str) -> DataFrame:
+        parent = found.select(F.col("g").alias(of), F.col("centre").alias("p_centre"), F.col("second").alias("p_second"), F.col("middle").alias("p_middle"), F.col("spread").alias("p_spread"))
+        return cut(groups.join(parent, of).drop(of).withColumn("weight", F.lit(params.prior)))
+
+    groups = children(sizes.groupBy(F.col("l").alias("g")).agg(F.sum("rows").alias("rows")).withColumn("of", F.lit("all")), "of")
+    found = mcd(passed.select(key("_lang").alias("g"), *_NAMES), groups, params)
+    groups = children(sizes.select(F.col("s").alias("g"), "rows", F.col("l").alias("of")), "of")
+    found = mcd(passed.select(key("_lang", "_source").alias("g"), *_NAMES), groups, params)
+    return sizes.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), F.col("rows"), F.col("s").alias("g")).join(found, "g").drop("g", "second")
 
 
 def quality_verdicts(
@@ -202,31 +244,17 @@ def quality_verdicts(
     names = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.col(source).alias("_source"))
     counted = with_counts(names, "_text", params, ["_id", "_lang", "_source"])
     rows = staged(counted.withColumns(statistics()), "quality")
-    passed = rows.filter(~F.col("base_failed"))
-    sizes = passed.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("n"))
-    small = F.col("n") < params.min_group
-    langs = sizes.groupBy(F.col("_lang").alias("_l")).agg(F.sum(F.when(small, F.col("n"))).alias("rest"), F.sum("n").alias("whole"))
-    # What judges a source: 0 itself, 1 the small sources of its language, 2 its language, 3 all rows.
-    level = F.when(~small, 0).when(F.col("rest") >= params.min_group, 1).when(F.col("whole") >= params.min_group, 2).otherwise(3)
-    named = sizes.join(langs, F.col("_lang").eqNullSafe(F.col("_l"))).withColumn("level", level)
-    group = F.struct("level", F.when(F.col("level") < 3, F.struct(F.col("_lang"))).alias("lang"), F.when(F.col("level") == 0, F.struct(F.col("_source"))).alias("own"))
-    named = named.withColumn("g", F.to_json(group, {"ignoreNullFields": "false"}))
-    groups = cut(named.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), "level", "g"))
+    found = cut(estimates(rows.filter(~F.col("base_failed")), params))
+    size = found.agg(F.count(F.lit(1)).alias("k"), F.sum("rows").alias("n")).first()
     same = F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s"))
-    found = mcd(passed.join(groups.filter("level < 2"), same).select("g", *_NAMES), params)
-    levels = {r["level"] for r in groups.select("level").distinct().collect()}
-    wide = []
-    if 2 in levels:
-        left = groups.filter("level = 2").select("_l", "g").distinct()
-        wide.append(passed.join(F.broadcast(left), F.col("_lang").eqNullSafe(F.col("_l"))).select("g", *_NAMES))
-    if 3 in levels:
-        wide.append(passed.select(F.lit(groups.filter("level = 3").first()["g"]).alias("g"), *_NAMES))
-    for more in wide:
-        found = found.unionByName(mcd(more, params, few=True))
-    judged = rows.join(groups.join(found, "g"), same, "left")
-    distance = F.when(~F.col("base_failed"), _distance() / F.col("scale"))
-    judged = judged.withColumn("distance", distance)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= params.cutoff, F.lit(True))  # null where the base rules fail
+    hot = F.lit(True) if size["k"] <= _FEW_GROUPS else F.col("rows") * 2048 > size["n"]  # fewer than 2048 groups
+    judged = rows.join(F.broadcast(found.filter(hot)), same, "left")
+    if size["k"] > _FEW_GROUPS:
+        near = rows.join(F.broadcast(found.filter(hot).select("_l", "_s")), same, "left_anti")
+        judged = judged.filter("_s IS NOT NULL OR _l IS NOT NULL OR centre IS NOT NULL").unionByName(near.join(found.filter(~hot), same, "left"))
+    scaled = F.log(F.lit(_CHI2[0.5])) + _SPREAD * (F.log(F.greatest(_distance(), F.lit(0.0)) + 1e-6) - F.col("middle")) / F.greatest(F.col("spread"), F.lit(_SPREAD))
+    judged = judged.withColumn("distance", F.when(~F.col("base_failed"), F.exp(scaled)))
+    kept = F.when(F.col("base_failed"), False).otherwise(F.col("distance") <= _CHI2[params.tail])
     return judged.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance"
     )
