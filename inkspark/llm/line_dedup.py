@@ -8,7 +8,8 @@ by chance, so they must stand on more sites: ``short_sites`` more for each word
 
 Defined cases: a null text stays null and has no lines; a null site is a site of its own; rows equal in id and text are
 treated alike, so a repeated row keeps what its twin keeps; a text without removed lines is returned as it was; an empty
-table gives an empty result; other columns pass through unless their names begin with two underscores.
+table gives an empty result; lines and texts of any length are taken whole; other columns pass through unless their names begin
+with two underscores.  A line that holds a great share of all lines is met in no single task: its key is broadcast.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import staged
+from ._spark import cut, join_spread, release, staged
 
 _BLANK = " \t\n\x0b\f\r"
 
@@ -50,23 +51,27 @@ def spread_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
     key = ["__h1", "__h2"]
     rows = staged(_line_rows(docs, id_col, text, site, params), "lines")
     often = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("__site").alias("a"), F.max("__site").alias("b"), F.max("__need").alias("need"))
-    often = often.filter((F.col("n") >= F.col("need")) & ((F.col("a") != F.col("b")) | F.lit(params.min_sites <= 1))).select(*key)
-    rows = staged(rows.join(often, key, "left_semi"), "often")
-    sketch = rows.groupBy(*key).agg(F.hll_sketch_agg("__site", params.lg_k).alias("s"), F.min(F.struct("__id", "__k", "__pos")).alias("__first"), F.max("__need").alias("__need"))
-    found = staged(sketch.select(*key, F.hll_sketch_estimate("s").alias("__sites"), "__first", "__need"), "sketches")
+    often = cut(often.filter((F.col("n") >= F.col("need")) & ((F.col("a") != F.col("b")) | F.lit(params.min_sites <= 1))).select(*key, "n"))
+    every, rows = rows, staged(join_spread(rows, often, key, "n", rows.count()), "often")
+    release(every)
+    sketch = rows.groupBy(*key).agg(
+        F.hll_sketch_agg("__site", params.lg_k).alias("s"), F.min(F.struct("__id", "__k", "__pos")).alias("__first"), F.max("__need").alias("__need"), F.count(F.lit(1)).alias("n")
+    )
+    found = staged(sketch.select(*key, F.hll_sketch_estimate("s").alias("__sites"), "__first", "__need", "n"), "sketches")
     low, high = F.col("__need") * (1 - params.doubt) - 1, F.col("__need") * (1 + params.doubt) + 1
     doubtful = found.filter((F.col("__sites") >= low) & (F.col("__sites") <= high))
-    pairs = rows.join(doubtful.select(*key), key, "left_semi").groupBy(*key, "__site").agg(F.lit(1).alias("one"))
+    pairs = join_spread(rows, doubtful.select(*key, "n"), key, "n", rows.count()).groupBy(*key, "__site").agg(F.lit(1).alias("one"))
     exact = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("__exact"))
-    sure = found.filter(F.col("__sites") > high).select(*key, "__first", "__sites")
-    return rows, sure.unionByName(doubtful.join(exact, key).filter(F.col("__exact") >= F.col("__need")).select(*key, "__first", F.col("__exact").alias("__sites")))
+    sure = found.filter(F.col("__sites") > high).select(*key, "__first", "__sites", "n")
+    near = doubtful.join(exact, key).filter(F.col("__exact") >= F.col("__need")).select(*key, "__first", F.col("__exact").alias("__sites"), "n")
+    return rows, cut(sure.unionByName(near))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", site: str = "source", params: LineDedupParams = LineDedupParams()) -> DataFrame:
     """``docs`` with the text of each row less its removed lines, and ``__removed``, their number."""
     rows, spread = spread_lines(docs, id_col, text, site, params)
     here = F.struct("__id", "__k", "__pos")
-    gone = rows.join(spread, ["__h1", "__h2"]).filter(here != F.col("__first"))
+    gone = join_spread(rows, spread, ["__h1", "__h2"], "n", rows.count()).filter(here != F.col("__first"))
     gone = gone.groupBy("__id", "__k").agg(F.collect_set("__pos").alias("__gone")).withColumnsRenamed({"__id": "__i", "__k": "__j"})
     named = docs.withColumn("__k", F.xxhash64(text))
     both = named.join(gone, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__k") == F.col("__j")), "left")
