@@ -9,11 +9,12 @@ index lists every item under all values that near, so none within the radius is
 exact weighted similarity: the weight of shingles that window and item share over the item's weight, at least 0.8.
 
 The benchmark is the query set: its items are taken in blocks of at most ``block_bytes`` of text, each block against all
-documents.  Nothing of the documents is shuffled or gathered.
+documents before the next is sent.  Nothing of the documents is shuffled or gathered.
 
-Defined cases: null and empty texts and items match nothing; items with a null id count, under a null id; a text shorter than an item is compared as a whole; a row
-per document and item gives the best window, the earliest of equals; repeated rows give one result; empty tables give an
-empty result; :func:`decontaminated` passes all columns through.
+Defined cases: null and empty texts and items match nothing; items with a null id count, under a null id; a text shorter
+than an item is compared as a whole; texts of any length are read whole; a row per document and item gives the best
+window, the earliest of equals; repeated rows give one result; empty tables give an empty result; of the documents' columns
+only id and text are read by name, and :func:`decontaminated` passes all columns through.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._kernels import SHINGLE, shingle_hashes, text_slices, word_hashes, word_spans
-from ._spark import prepare
+from ._spark import prepare, staged
 
 
 @dataclass(frozen=True)
 class DecontaminateParams:
     similarity: float = 0.8
     radius: int = 23  # of 64; a pair at the least similarity differs in about 13 bits
-    block_bytes: int = 32 << 20  # text of items at a time
+    block_bytes: int = 8 << 20  # text of items at a time; an index takes some thirty times as much
 
 
 def simhash(shingles: np.ndarray) -> int:
@@ -128,50 +130,58 @@ class ItemIndex:
             yield self.ids[n], similarity, begin, distance
 
 
-def _indexes(benchmark: DataFrame, item_id: str, item_text: str, params: DecontaminateParams) -> list:
-    """Broadcast item indexes, one per block of items; a block's text is at most about ``block_bytes``."""
-    spark = benchmark.sparkSession
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, params: DecontaminateParams) -> Iterator[ItemIndex]:
+    """Item indexes, one block of items after the other; a block's text is about ``block_bytes``."""
     size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     blocks = 1 + int(size) // params.block_bytes
     own = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL")
-    out = []
     for b in range(blocks):
         items = own.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i").collect()  # bounded by block_bytes
-        out.append(spark.sparkContext.broadcast(ItemIndex([(r["i"], r["t"]) for r in items], params)))
-    return out
+        if items or blocks == 1:
+            yield ItemIndex([(r["i"], r["t"]) for r in items], params)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", params: DecontaminateParams = DecontaminateParams()) -> DataFrame:
     """Per document and item that it holds: ``similarity``, ``first_word`` (from 0) and ``distance`` in bits."""
-    prepare(docs.sparkSession)
-    indexes = _indexes(benchmark, item_id, item_text, params)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            found = [(ids[row].as_py(), *rest) for index in indexes for row, *rest in index.value.matches(batch.column(1))]
-            columns = list(zip(*found, strict=True)) if found else [[] for _ in range(5)]
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "item", "similarity", "first_word", "distance"])
-
+    spark = prepare(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    found = own.mapInArrow(run, "id long, item long, similarity double, first_word long, distance long")
+    schema = "id long, item long, similarity double, first_word long, distance long"
+    parts: list[DataFrame] = []
+    for index in _blocks(benchmark, item_id, item_text, params):
+        if parts:  # matches of the block before are written before the next block is sent
+            parts[-1] = staged(parts[-1], "matches")
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0)
+                found = [(ids[row].as_py(), *rest) for row, *rest in shared.value.matches(batch.column(1))]
+                columns = list(zip(*found, strict=True)) if found else [[] for _ in range(5)]
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "item", "similarity", "first_word", "distance"])
+
+        parts.append(own.mapInArrow(run, schema))
+    found = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
     best = found.groupBy("id", "item").agg(F.max_by(F.struct("similarity", "first_word", "distance"), F.struct(F.col("similarity"), -F.col("first_word"))).alias("m"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias("item_id"), "m.similarity", "m.first_word", "m.distance")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", params: DecontaminateParams = DecontaminateParams()) -> DataFrame:
     """The rows of ``docs`` whose text holds no item, unchanged and without a shuffle."""
-    prepare(docs.sparkSession)
-    indexes = _indexes(benchmark, item_id, item_text, params)
-    at = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = np.ones(batch.num_rows, bool)
-            for index in indexes:
-                for row, *_ in index.value.matches(batch.column(at)):
+    spark = prepare(docs.sparkSession)
+    at, names = docs.columns.index(text), docs.schema
+    kept = docs
+    for k, index in enumerate(_blocks(benchmark, item_id, item_text, params)):
+        if k:  # what the block before left is written before the next block is sent
+            kept = staged(kept, "clean")
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for row, *_ in shared.value.matches(batch.column(at)):
                     clean[row] = False
-            yield batch.filter(pa.array(clean))
+                yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+        kept = kept.mapInArrow(run, names)
+    return kept
