@@ -9,13 +9,15 @@ drops the leading one, so a text comes back exactly unless it holds the marker i
 No piece crosses from other characters into a marker, nor over a line feed, so a text is cut there and each segment is
 looked up once per worker (``cache`` segments at most).
 
-Defined cases: null and empty texts have no ids and decode to the empty text; every row gives a row; other columns of the
-input are not returned.
+Defined cases: null and empty texts have no ids and decode to the empty text; every row gives a row, repeated ones too;
+texts and words of any length are taken whole; an empty table gives an empty result; other columns of the input are neither
+read nor returned, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +31,7 @@ from ._spark import prepare
 MARK = "▁"
 _SEGMENTS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _PENALTY = 10.0
+_PART = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -109,24 +112,53 @@ class Codec:
         self.base, self.check, self.value = model.base.tolist(), model.check.tolist(), model.value.tolist()
         self.known: dict[str, tuple[int, ...]] = {}
         self.out = [p.replace(MARK, " ").encode() for p in model.pieces]
+        self.lengths = [len(p.encode()) for p in model.pieces]
+        self.longest = max(self.lengths)
         for b, i in enumerate(model.byte_ids):
             self.out[i] = bytes([b])
 
     def segment(self, text: str) -> tuple[int, ...]:
-        """The best segmentation of one segment."""
+        """The best segmentation of one segment.
+
+        Twelve bytes of state per byte of text; a long segment is cut wherever no piece reaches over (every segmentation
+        passes there), so that the state is that of a part."""
         data = text.encode()
         n = len(data)
-        base, check, value, scores = self.base, self.check, self.value, self.model.scores
+        base, check, value, scores, lengths = self.base, self.check, self.value, self.model.scores, self.lengths
         slots = len(check)
         unknown = self.model.worst - _PENALTY
-        best: list[float | None] = [None] * (n + 1)
+        out: list[int] = []
+        none = float("-inf")
+        start = reach = i = 0
+        size = min(n, _PART) + self.longest + 4
+        best, back = array("d", [none]) * (size + 1), array("i", [0]) * (size + 1)
         best[0] = 0.0
-        back = [(0, -1)] * (n + 1)
-        i = 0
+
+        def trace(stop: int) -> None:
+            ids: list[int] = []
+            at = stop
+            while at > start:
+                v = back[at - start]
+                if v >= 0:
+                    ids.append(v)
+                    at -= lengths[v]
+                else:
+                    ids.extend(self.model.byte_ids[c] for c in reversed(data[at + v : at]))
+                    at += v
+            out.extend(reversed(ids))
+
         while i < n:
+            if i == reach and i - start >= _PART:  # every segmentation passes here
+                trace(i)
+                start = i
+                best, back = array("d", [none]) * (size + 1), array("i", [0]) * (size + 1)
+                best[0] = 0.0
+            if i - start + self.longest + 4 >= len(best):
+                best.extend(array("d", [none]) * len(best))
+                back.extend(array("i", [0]) * len(back))
             lead = data[i]
             step = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            score = best[i]
+            score = best[i - start]
             single = False
             s, j = 0, i
             while j < n:
@@ -138,27 +170,22 @@ class Codec:
                 v = value[s]
                 if v >= 0:
                     total = score + scores[v]
-                    if best[j] is None or total > best[j]:
-                        best[j] = total
-                        back[j] = (i, v)
+                    if total > best[j - start]:
+                        best[j - start] = total
+                        back[j - start] = v
+                        if j > reach:
+                            reach = j
                     single = single or j == i + step
             if not single:
                 total = score + unknown
-                if best[i + step] is None or total > best[i + step]:
-                    best[i + step] = total
-                    back[i + step] = (i, -1)
+                if total > best[i + step - start]:
+                    best[i + step - start] = total
+                    back[i + step - start] = -step
+                    if i + step > reach:
+                        reach = i + step
             i += step
-        ids: list[int] = []
-        at = n
-        while at:
-            begin, v = back[at]
-            if v >= 0:
-                ids.append(v)
-            else:
-                ids.extend(self.model.byte_ids[b] for b in reversed(data[begin:at]))
-            at = begin
-        ids.reverse()
-        return tuple(ids)
+        trace(n)
+        return tuple(out)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
