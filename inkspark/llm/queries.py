@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._spark import prepare, table
 from .decontaminate import contaminated
@@ -10,11 +11,12 @@ from .html_text import extract_pages
 from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_classes
-from .quality import quality_verdicts
+from .quality import QualityParams, quality_verdicts, with_counts
 from .sentencepiece import encode_documents
+from .sql import ORACLES
 from .token_files import read_token_files, write_token_files
-from .url_filter import judge_urls
-from .warc import read_archives, resolved, write_archives
+from .url_filter import judge_urls, ruled_urls
+from .warc import expect_whole, read_archives, resolved, write_archives
 
 
 def tokenizer_path(name: str) -> str:
@@ -67,7 +69,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as read back from its WARC record (see :mod:`inkspark.llm.warc`)."""
-    return resolved(read_archives(write_archives(table(prepare(spark), sf_dir, "pages")))[0])
+    return resolved(expect_whole(*read_archives(write_archives(table(prepare(spark), sf_dir, "pages")))))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +77,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(prepare(spark), sf_dir, "documents"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 takes from a url and from its rules, without the trees."""
+    return ruled_urls(table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "host", "path", "rule", "ruled")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base rules of op10, without the estimates."""
+    return with_counts(table(spark, sf_dir, "documents"), "text", QualityParams(), ["doc_id"]).drop("_lines")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_html_extraction, op3_benchmark_decontamination, op4_url_filter, op5_ngram_jaccard_join,
-        op6_sentencepiece, op7_token_files, op8_line_dedup, op9_warc, op10_quality_rules,
+        op6_sentencepiece, op7_token_files, op8_line_dedup, op9_warc, op10_quality_rules, url_rules, quality_counts,
     )
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "tokenizer_path"]

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from inkspark.llm import decontaminate, licenses, line_dedup, ngram_join, quality
 from inkspark.llm._kernels import shingle_sets
+from inkspark.llm._spark import join_spread
+from inkspark.llm.queries import QUERIES
+from inkspark.llm.sql import ORACLES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -122,8 +125,13 @@ def test_quality_rejects_junk_and_keeps_the_rest(spark):
     bad = [r for i, r in got.items() if labels.get(i) == 0]
     assert sum(r["kept"] for r in good) >= 0.995 * len(good)
     assert sum(not r["kept"] for r in bad) >= 0.8 * len(bad)
+
+
+def test_quality_filter_keeps_columns_and_drops_twins(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60").withColumn("distance", F.lit("clash"))
+    docs = docs.union(docs.filter("doc_id = 3").withColumn("text", F.lit("short twin")))
     kept = quality.quality_filter(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count() and kept.filter("doc_id = 3").count() == 0
 
 
 def test_quality_judges_every_row_of_small_groups(spark):
@@ -137,6 +145,45 @@ def test_quality_judges_every_row_of_small_groups(spark):
     assert sum(r["kept"] for r in got.values()) >= 0.8 * sum(not r["base_failed"] for r in got.values())
 
 
+def test_estimates_against_brute_force(spark):
+    """One group without a parent: the estimate has no greater determinant than numpy's from many random starts, and distances
+    are those of its own subset."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    good = rng.multivariate_normal([6000, 1700, 60, 100, 200], np.diag([700, 60, 50, 300, 250.0]) ** 2 + 2000, 300)
+    x = np.rint(np.concatenate([good, rng.normal([9000, 1500, 700, 900, 900], 100, (60, 5))])).astype(int)
+    stats = spark.createDataFrame([("g", *map(int, row)) for row in x], "g string, " + ", ".join(f"{n} long" for n in quality._NAMES))
+    none = {"weight": F.lit(0.0), "p_centre": F.array(*[F.lit(0.0)] * 5), "p_second": F.array(*[F.lit(0.0)] * 15), "p_middle": F.lit(0.0), "p_spread": F.lit(0.0)}
+    groups = spark.createDataFrame([("g", len(x))], "g string, rows long").withColumns(none)
+    got = quality.mcd(stats, groups, quality.QualityParams()).first()
+    added = np.diag([(d * quality._UNIT) ** 2 for d in quality.STATISTICS.values()])
+
+    def fit(rows):
+        return rows.mean(0), np.cov(rows.T, bias=True) + added
+
+    def far(centre, scatter):
+        return np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+
+    best = None
+    for _ in range(60):
+        rows = x[rng.choice(len(x), 30, replace=False)]
+        for _ in range(20):
+            centre, scatter = fit(rows)
+            d = far(centre, scatter)
+            rows = x[np.argsort(d)[: int(0.75 * len(x))]]
+        value = np.linalg.slogdet(fit(rows)[1])[1]
+        if best is None or value < best[0]:
+            best = (value, *fit(rows))
+    lower = np.array(got["inverse"])
+    inverse = np.zeros((5, 5))
+    for (i, j), v in zip(quality._PAIRS, lower, strict=True):
+        inverse[i, j] = inverse[j, i] = v if i == j else v / 2
+    assert -np.linalg.slogdet(inverse)[1] <= best[0] + 0.05
+    d = far(np.array(got["centre"]), np.linalg.inv(inverse))
+    assert d[300:].min() > d[:300].max() and abs(np.log(np.median(d)) - got["middle"]) < 0.05
+
+
 def test_line_dedup_against_brute_force(spark):
     shared, near, rare = "this line stands on many sites", "this line stands on two sites", "short line"
     rows = [(i, f"{shared}\nown words number {i} are here\n{rare}" + (f"\n {near} " if i < 2 else ""), "en", f"s{i}", i) for i in range(6)]
@@ -229,7 +276,68 @@ def test_licenses_against_brute_force(spark):
 
 def test_license_edges(spark):
     mit = licenses.TEMPLATES["MIT"][1]
-    rows = [(1, "x " * 100 + mit.lower().replace(",", " ,") + " y" * 50), (2, None), (3, ""), (4, "MIT"), (5, mit[: len(mit) // 2]), (6, f"{mit}\n{mit}")]
-    df = spark.createDataFrame([(i, t, "q") for i, t in rows], "doc_id long, text string, license string")
+    rows = [(1, "x " * 100 + mit.lower().replace(",", " ,") + " y" * 50), (2, None), (3, ""), (4, "MIT"), (5, mit[: len(mit) // 2]), (6, f"{mit}\n{mit}"), (7, "word " * 60_000 + mit)]
+    df = spark.createDataFrame([(i, t, "q", 1) for i, t in rows], "doc_id long, text string, license string, h5 int")
     got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(df).collect()}
-    assert got == {(1, "MIT"), (6, "MIT")}
+    assert got == {(1, "MIT"), (6, "MIT"), (7, "MIT")}
+
+
+def test_templates_of_any_length(spark):
+    long = " ".join(f"term{i % 700}x{i}" for i in range(2500))
+    templates = {"long": [long], "two": ["MIT License"], "one": ["Copyleft"], "none": ["..."]}
+    rows = [(1, "lead " * 33 + long + " tail" * 9), (2, "under the (MIT) license here"), (3, "a copyleft b copyleft"), (4, "MIT and other license"), (5, long[: len(long) // 2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]): (r["containment"], r["n_windows"]) for r in licenses.scan_licenses(df, templates=templates).collect()}
+    assert got.keys() == {(1, "long"), (2, "two"), (3, "one")} and got[1, "long"][0] == 1.0 and got[3, "one"] == (1.0, 2)
+
+
+def test_recall_on_edited_notices(spark):
+    """Words changed so that 80 to 95 per cent of the shingles are left."""
+    import random
+
+    rng = random.Random(4)
+    rows, want = [], set()
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            own = re.findall("[a-z0-9]+", text.lower())
+            for _ in range(12):
+                edited = list(own)
+                while len(own) > 25 and rng.random() < 0.6:
+                    edited[rng.randrange(len(edited))] = f"zz{rng.randrange(99)}"
+                held = {tuple(edited[i : i + 5]) for i in range(len(edited) - 4)}
+                whole = {tuple(own[i : i + 5]) for i in range(len(own) - 4)}
+                if len(held & whole) >= 0.8 * len(whole):
+                    want.add((len(rows), name))
+                rows.append((len(rows), " ".join([f"f{rng.randrange(999)}" for _ in range(rng.randrange(60))] + edited + [f"f{rng.randrange(999)}" for _ in range(rng.randrange(60))])))
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want & got) >= 0.99 * len(want) and len(want) > 100
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    base = duckdb.connect()
+    for table in ("documents", "pages"):
+        base.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want = base.sql(ORACLES[name])
+    columns = sorted(want.columns)
+    got = QUERIES[name](spark, SF)
+    assert sorted(got.columns) == columns
+    rows = lambda found: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in found), key=repr)
+    assert rows(map(tuple, got.select(*columns).collect())) == rows(want.select(", ".join(columns)).fetchall())
+
+
+def test_hot_lines_and_entries_are_met_by_broadcast(spark):
+    """Keys with a great share of the rows, and the same result as without."""
+    rows = spark.range(5000).selectExpr("IF(id % 3 = 0, 7, id) AS key", "id")
+    small = rows.groupBy("key").count()
+    got = join_spread(rows, small, ["key"], "count", 5000)
+    assert got.count() == 5000 and "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+
+
+def test_null_ids_and_clashing_names_in_the_join(spark):
+    rows = [(None, "a b c d e f g", 1, 2), (None, "a b c d e f g", 1, 2), (3, "A b c d e f g", 1, 2), (4, "z " * 200_000, 1, 2), (5, "z " * 200_000, 1, 2)]
+    got = ngram_join.ngram_classes(spark.createDataFrame(rows, "doc_id long, text string, entry int, gid int")).collect()
+    assert sorted((r["doc_id"] or -1, r["n_shingles"]) for r in got) == [(-1, 3), (-1, 3), (3, 3), (4, 1), (5, 1)]
+    assert {r["component_id"] for r in got if r["doc_id"] in (4, 5)} == {4}
