@@ -31,7 +31,7 @@ from ._spark import prepare
 MARK = "▁"
 _SEGMENTS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _PENALTY = 10.0
-_PART = 1 << 16
+_SHORT, _PART = 1 << 12, 1 << 16  # bytes of a segment
 
 
 @dataclass(frozen=True)
@@ -118,11 +118,65 @@ class Codec:
             self.out[i] = bytes([b])
 
     def segment(self, text: str) -> tuple[int, ...]:
-        """The best segmentation of one segment.
-
-        Twelve bytes of state per byte of text; a long segment is cut wherever no piece reaches over (every segmentation
-        passes there), so that the state is that of a part."""
+        """The best segmentation of one segment."""
         data = text.encode()
+        return self._word(data) if len(data) <= _SHORT else self._long(data)
+
+    def _word(self, data: bytes) -> tuple[int, ...]:
+        """A short segment, with plain lists."""
+        n = len(data)
+        base, check, value, scores = self.base, self.check, self.value, self.model.scores
+        slots, unknown = len(check), self.model.worst - _PENALTY
+        best: list[float | None] = [None] * (n + 1)
+        best[0] = 0.0
+        back = [0] * (n + 1)
+        i = 0
+        while i < n:
+            lead = data[i]
+            step = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            score = best[i]
+            single = False
+            s, j = 0, i
+            while j < n:
+                t = base[s] + data[j] + 1
+                if t >= slots or check[t] != s:
+                    break
+                s = t
+                j += 1
+                v = value[s]
+                if v >= 0:
+                    total = score + scores[v]
+                    held = best[j]
+                    if held is None or total > held:
+                        best[j] = total
+                        back[j] = v
+                    if j == i + step:
+                        single = True
+            if not single:
+                i += step
+                total = score + unknown
+                held = best[i]
+                if held is None or total > held:
+                    best[i] = total
+                    back[i] = -step
+            else:
+                i += step
+        ids: list[int] = []
+        at = n
+        while at:
+            v = back[at]
+            if v >= 0:
+                ids.append(v)
+                at -= self.lengths[v]
+            else:
+                ids.extend(self.model.byte_ids[c] for c in reversed(data[at + v : at]))
+                at += v
+        ids.reverse()
+        return tuple(ids)
+
+    def _long(self, data: bytes) -> tuple[int, ...]:
+        """A segment of any length.  Twelve bytes of state per byte of text; it is cut wherever no piece reaches over (every segmentation passes
+        there), so that the state is that of a part."""
         n = len(data)
         base, check, value, scores, lengths = self.base, self.check, self.value, self.model.scores, self.lengths
         slots = len(check)

@@ -330,6 +330,7 @@ def test_pieces_are_the_best_segmentation(codec, text):
 def test_long_words_are_cut_where_nothing_reaches_over(codec, monkeypatch, text):
     whole = codec.encode(text[:20_000])
     monkeypatch.setattr(sentencepiece, "_PART", 64)
+    monkeypatch.setattr(sentencepiece, "_SHORT", 16)
     fresh = sentencepiece.Codec(codec.model)
     assert fresh.encode(text[:20_000]) == whole
     if sentencepiece.MARK not in text:
