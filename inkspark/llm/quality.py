@@ -5,7 +5,7 @@ Each document gets counts (:func:`base_counts`), the counts become a vector of t
 (:func:`mcd`) gives the Mahalanobis distance beyond which a document is rejected.
 
 The estimate starts from three subsets (those nearest to the medians by the sum of squares, the greatest and the sum of
-standardised deviations), takes two concentration steps from each, goes on from the one of least determinant, and ends
+deviations in quartile ranges), takes a concentration step from each, goes on from the one of least determinant, and ends
 when no step makes a determinant smaller (``max_steps`` at most).  Every scatter has the squares of the least deviations
 in ``STATISTICS`` added to its diagonal.  A source's estimate is drawn towards its language's as by ``prior`` more documents
 like it, a language's towards that of all documents; so every source has its own estimate, and one of few documents is
@@ -51,7 +51,8 @@ class QualityParams:
     min_words: int = 50
     max_repeat_percent: int = 50
     subset: float = 0.75  # share of a group that the estimate covers
-    max_steps: int = 12  # concentration steps after the starts' two
+    max_steps: int = 12  # concentration steps from the best start
+    settled: float = 1e-3  # a lesser gain in a log determinant counts as none
     prior: float = 200.0  # documents that a parent's estimate counts for: one document cannot widen its own group's scatter by more
     tail: float = 0.999  # a key of ``_CHI2``
 
@@ -181,28 +182,23 @@ def mcd(stats: DataFrame, groups: DataFrame, params: QualityParams) -> DataFrame
         limit = rows.groupBy(*keys).agg(F.percentile("_b", F.lit(params.subset)).alias("_limit"), F.count(F.lit(1)).alias("rows"))
         return _estimate(_moments(attach(rows, limit, keys).filter("_b <= _limit"), keys), groups, keys)
 
-    middle = stats.groupBy("g").agg(*(F.percentile(n, F.lit(0.5)).alias(f"med_{n}") for n in _NAMES), F.count(F.lit(1)).alias("rows"))
-    spread = attach(stats, middle, ["g"]).groupBy("g").agg(
-        *(F.max(f"med_{n}").alias(f"med_{n}") for n in _NAMES),
-        *(F.percentile(F.abs(F.col(n) - F.col(f"med_{n}")).cast("long"), F.lit(0.5)).alias(f"mad_{n}") for n in _NAMES),
-        F.count(F.lit(1)).alias("rows"),
-    )
-    spread = cut(spread)
-    z = [F.abs(F.col(n) - F.col(f"med_{n}")) / F.greatest(1.4826 * F.col(f"mad_{n}"), F.lit(d * _UNIT)) for n, d in STATISTICS.items()]
+    quarters = [f"percentile({n}, array(0.25D, 0.5D, 0.75D)) AS _q{i}" for i, n in enumerate(_NAMES)]
+    middle = cut(stats.groupBy("g").agg(*(F.expr(x) for x in [*quarters, "count(1) AS rows"])))
+    floors = list(STATISTICS.values())
+    z = [F.expr(f"abs({n} - _q{i}[1]) / greatest((_q{i}[2] - _q{i}[0]) / 1.349D, {floors[i] * _UNIT}D)") for i, n in enumerate(_NAMES)]
     starts = [sum((x * x for x in z[1:]), z[0] * z[0]), F.greatest(*z), sum(z[1:], z[0])]
-    rows = attach(stats, spread, ["g"]).select("g", *_NAMES, *(_bin(x).alias(f"_b{k}") for k, x in enumerate(starts)))
+    rows = attach(stats, middle, ["g"]).select("g", *_NAMES, *(_bin(x).alias(f"_b{k}") for k, x in enumerate(starts)))
     limits = rows.groupBy("g").agg(*(F.percentile(f"_b{k}", F.lit(params.subset)).alias(f"_l{k}") for k in range(len(starts))), F.count(F.lit(1)).alias("rows"))
     inside = F.filter(F.array(*(F.when(F.col(f"_b{k}") <= F.col(f"_l{k}"), F.lit(k)) for k in range(len(starts)))), lambda k: k.isNotNull())
     rows = attach(rows, limits, ["g"]).select("g", *_NAMES, F.explode(inside).alias("start"))
     at = cut(_estimate(_moments(rows, ["g", "start"]), groups, ["g", "start"]))
-    for _ in range(2):
-        at = cut(concentrate(at, ["g", "start"]))
+    at = cut(concentrate(at, ["g", "start"]))
     names = ["rows", "centre", "inverse", "second", "log_det"]
-    at = cut(at.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("log_det", "start")).alias("b")).select("g", "b.*"))
+    at = at.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("log_det", "start")).alias("b")).select("g", "b.*")
     for _ in range(params.max_steps):
         more = concentrate(at, ["g"])
         both = at.join(more.select("g", *(F.col(n).alias(f"n_{n}") for n in names)), "g")
-        better = F.col("n_log_det") < F.col("log_det") - 1e-6
+        better = F.col("n_log_det") < F.col("log_det") - params.settled
         both = cut(both.select("g", better.alias("better"), *(F.when(better, F.col(f"n_{n}")).otherwise(F.col(n)).alias(n) for n in names)))
         at = both.drop("better")
         if not both.agg(F.max("better")).first()[0]:
