@@ -20,10 +20,21 @@ def dense_rows(cells: DataFrame, row: str, col: str, text: str, *keys: str) -> D
     return held.select(*group, F.transform(F.sequence(F.lit(1), F.col("w")), lambda k: F.coalesce(F.col("m")[k], F.lit(""))).alias("cells"))
 
 
-def dictionary(df: DataFrame, value: str) -> DataFrame:
-    """(idx, value): the distinct values in order, from 0; for dictionaries, which are small beside their uses."""
+def dictionary(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
+    """(idx, value): the distinct values in order, from 0.
+
+    Values are cut into ranges at values of least hash (at most 16 for each range are read), numbered in each range, and moved
+    on by what the ranges before hold, so no task sorts all of them."""
     distinct = df.select(F.col(value).alias("value")).distinct()
-    return distinct.select((F.row_number().over(Window.orderBy("value")) - 1).alias("idx"), "value")
+    some = sorted(r["value"] for r in distinct.filter("value IS NOT NULL").orderBy(F.xxhash64("value"), "value").limit(16 * parts).collect())
+    cuts = some[8::16]
+    bounds = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<string>")
+    placed = distinct.withColumn("__part", F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("value"))), F.lit(-1)))
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    over = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy("value"))
+    return placed.withColumn("__i", inside).join(F.broadcast(before), "__part").select((F.col("__before") + F.col("__i") - 1).alias("idx"), "value")
 
 
 def resolve_shared(cells: DataFrame, strings: DataFrame, idx: str, out: str) -> DataFrame:

@@ -14,20 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .search import fold_ascii
 
 #: List marks and beginnings of captions.
 LIST_MARKS = ("•", "-", "*", "–", "—", "‣", "")
 CAPTIONS = ("figure ", "figure:", "fig. ", "fig ", "table ", "table:", "listing ", "equation ")
+_CAPTION = "^(?i:" + "|".join(c.replace(".", "\\.") for c in CAPTIONS) + ")"
 _LIST = r"^(?:(?:[" + "".join("\\-" if m == "-" else m for m in LIST_MARKS) + r"]) |[0-9]+[.)] |[A-Za-z]\. )"
 
 
 def block_kind(text: Column, size: Column, body: Column) -> Column:
     """heading, paragraph, list, caption or other; patterns decide before sizes."""
     bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
-    caption = F.lit(False)
-    for start in CAPTIONS:
-        caption = caption | F.startswith(fold_ascii(bare), F.lit(start))
+    caption = bare.rlike(_CAPTION)
     return (
         F.when((F.octet_length(bare) == 0) | (body <= 0), "other").when(bare.rlike(_LIST), "list").when(caption & (size <= body * 1.1), "caption")
         .when(size >= body * 1.25, "heading").when(size >= body * 0.8, "paragraph").otherwise("other")
@@ -134,100 +132,131 @@ def body_size(lines: Sequence[Line]) -> float:
 class Table:
     headers: list[str]
     rows: list[list[str]]
-    members: set[int]
+    members: set[int]  # indices of the lines that the table takes
+    x: float = 0.0
+    y: float = 0.0
+    w: float = 0.0
+    h: float = 0.0
 
 
-def find_tables(lines: Sequence[Line]) -> list[Table]:
-    """Tables on a page: left edges that at least three lines share behind a gutter, rows by baseline, wrapped parts
-    joined by line feeds.  The first row is the header where it is visibly larger than the middle size."""
-    starts: list[list[float]] = []  # clusters: mean, members
-    segments: list[list[tuple[float, list[Run]]]] = []
+@dataclass
+class _Band:
+    """Lines of one table row: first its seeds, then what is attached."""
+
+    y: float
+    size: float
+    lines: list[int]
+    edges: set[int]
+
+
+#: Tolerances of edges (points), and of gutters, bands, attached lines and regions (in sizes).
+EDGE, SUPPORT, GUTTER, BAND, ATTACH, REGION, WORD = 2.0, 3, 1.5, 0.5, 1.6, 5.0, 0.15
+
+
+def _edges(lines: Sequence[Line]) -> tuple[list[float], list[set[int]]]:
+    """Column edges from left to right, and per line those that a gutter (or the line's begin) stands before."""
+    means: list[float] = []
+    sizes: list[int] = []
+    for x in sorted(r.x for line in lines for r in line.runs):
+        if means and x - means[-1] <= EDGE:
+            sizes[-1] += 1
+            means[-1] += (x - means[-1]) / sizes[-1]
+        else:
+            means.append(x)
+            sizes.append(1)
+    touched: list[set[int]] = []
     for line in lines:
-        own: list[tuple[float, list[Run]]] = []
-        for run in line.runs:
-            if own and run.x - (own[-1][1][-1].x + own[-1][1][-1].w) < 1.5 * max(run.size, line.size):
-                own[-1][1].append(run)
-            else:
-                own.append((run.x, [run]))
-        segments.append(own)
-        for x, _ in own:
-            cluster = next((c for c in starts if abs(c[0] - x) <= 2.0), None)
-            if cluster is None:
-                starts.append([x, 1])
-            else:
-                cluster[0] += (x - cluster[0]) / (cluster[1] + 1)
-                cluster[1] += 1
-
-    def edge_of(x: float, edges: Sequence[float]) -> int:
-        return max((k for k, e in enumerate(edges) if e <= x + 2.0), default=0)
-
-    support: dict[int, int] = {}
-    for own in segments:
-        if len(own) >= 2:
-            for x, _ in own:
-                k = min(range(len(starts)), key=lambda c: abs(starts[c][0] - x))
-                support[k] = support.get(k, 0) + 1
-    edges = sorted(starts[k][0] for k, n in support.items() if n >= 3)
+        ends = [float("-inf"), *(r.x + r.w for r in line.runs)]
+        free = [r.x for r, end in zip(line.runs, ends, strict=False) if r.x - end >= GUTTER * r.size]
+        near = (next((k for k, m in enumerate(means) if abs(x - m) <= EDGE), None) for x in free)
+        touched.append({k for k in near if k is not None})
+    kept = [k for k in range(len(means)) if sum(k in t for t in touched) >= SUPPORT]
+    edges = [means[k] for k in kept]
+    named = {k: next((e for e, x in enumerate(edges) if abs(means[k] - x) <= EDGE), None) for k in range(len(means))}
+    return edges, [{named[k] for k in t} - {None} for t in touched]
+
+
+def _bands(lines: Sequence[Line], hits: Sequence[set[int]]) -> list[_Band]:
+    """Lines on two edges or more, from the top down; those on about one height are one band."""
+    bands: list[_Band] = []
+    for i in sorted((i for i, h in enumerate(hits) if len(h) >= 2), key=lambda i: -lines[i].y):
+        line = lines[i]
+        if bands and abs(line.y - bands[-1].y) <= BAND * max(line.size, bands[-1].size):
+            bands[-1].lines.append(i)
+            bands[-1].edges |= hits[i]
+            bands[-1].size = max(bands[-1].size, line.size)
+        else:
+            bands.append(_Band(line.y, line.size, [i], set(hits[i])))
+    for band in bands:
+        band.y = sum(lines[i].y for i in band.lines) / len(band.lines)
+    return bands
+
+
+def _regions(bands: Sequence[_Band]) -> list[list[_Band]]:
+    """Bands without a great gap between them."""
+    out: list[list[_Band]] = []
+    for band in bands:
+        if out and out[-1][-1].y - band.y <= REGION * max(out[-1][-1].size, band.size):
+            out[-1].append(band)
+        else:
+            out.append([band])
+    return out
+
+
+def _cell(runs: list[Run]) -> str:
+    """A cell's runs: from the top down, then from the left; lines joined by line feeds."""
+    rows: list[list[Run]] = []
+    for run in sorted(runs, key=lambda r: (-r.y, r.x)):
+        if rows and abs(run.y - rows[-1][-1].y) <= BAND * max(run.size, rows[-1][-1].size):
+            rows[-1].append(run)
+        else:
+            rows.append([run])
+    return "\n".join(joined_runs(row, False, WORD) for row in rows).strip()
+
+
+def _table(lines: Sequence[Line], region: list[_Band], edges: list[float], hits: Sequence[set[int]]) -> Table | None:
+    columns = set().union(*(b.edges for b in region))
+    if len(region) < 2 or len(columns) < 2:
+        return None
+    taken = {b: list(region[b].lines) for b in range(len(region))}
+    for i, own in enumerate(hits):  # a line on one edge alone is a wrapped part of the nearest row
+        if len(own) == 1 and own <= columns:
+            near = min(range(len(region)), key=lambda b: abs(lines[i].y - region[b].y))
+            if abs(lines[i].y - region[near].y) <= ATTACH * max(lines[i].size, region[near].size):
+                taken[near].append(i)
+    first = min(columns)
+    whole = [b for b in range(len(region)) if first in region[b].edges]  # the outer rows begin at the left edge
+    rows = list(range(whole[0], whole[-1] + 1)) if whole else []
+    if len(rows) < 2:
+        return None
+    used = sorted(set().union(*(region[b].edges for b in rows)))
+    grid = []
+    for b in rows:
+        cells: list[list[Run]] = [[] for _ in used]
+        for i in taken[b]:
+            for run in lines[i].runs:
+                cells[max((k for k, e in enumerate(used) if edges[e] <= run.x + EDGE), default=0)].append(run)
+        grid.append([_cell(c) for c in cells])
+    members = {i for b in rows for i in taken[b]}
+    runs = [r for i in members for r in lines[i].runs]
+    left, top = min(r.x for r in runs), max(r.y for r in runs)
+    sizes = [region[b].size for b in rows]
+    head = 1 if sizes[0] >= 1.15 * sorted(sizes)[len(sizes) // 2] else 0
+    return Table(grid[0] if head else [], grid[head:], members, left, top, max(r.x + r.w for r in runs) - left, top - min(r.y for r in runs))
+
+
+def find_tables(lines: Sequence[Line]) -> list[Table]:
+    """Tables on a page.
+
+    Left edges of runs become columns where ``SUPPORT`` lines or more begin there, or go on there behind a gutter.  Lines on two
+    edges are rows; lines on one edge near a row are wrapped parts of its cells.  Rows apart by more than ``REGION`` sizes
+    belong to different tables, and a table's first and last rows begin at its left edge.  The first row is the header where it is
+    visibly larger than the middle size."""
+    edges, hits = _edges(lines)
     if len(edges) < 2:
         return []
-    seeds = [i for i, own in enumerate(segments) if len({edge_of(x, edges) for x, _ in own if any(abs(x - e) <= 2.0 for e in edges)}) >= 2]
-    seeds.sort(key=lambda i: -lines[i].y)
-    regions: list[list[list[int]]] = []
-    for i in seeds:
-        line = lines[i]
-        if regions:
-            band = regions[-1][-1]
-            last = lines[band[0]]
-            if abs(last.y - line.y) <= 0.5 * max(last.size, line.size):
-                band.append(i)
-                continue
-            if last.y - line.y <= 5 * max(last.size, line.size):
-                regions[-1].append([i])
-                continue
-        regions.append([[i]])
-    tables = []
-    for bands in regions:
-        used = sorted({edge_of(x, edges) for b in bands for i in b for x, _ in segments[i] if any(abs(x - e) <= 2.0 for e in edges)})
-        columns = [edges[k] for k in used]
-        if len(columns) < 2:
-            continue
-        member = {i for b in bands for i in b}
-        for i, own in enumerate(segments):  # wrapped parts of cells stand alone on their line
-            if i in member or len(own) != 1 or not any(abs(own[0][0] - e) <= 2.0 for e in columns):
-                continue
-            best = min(bands, key=lambda b: abs(lines[b[0]].y - lines[i].y) + (0.01 if lines[b[0]].y < lines[i].y else 0))
-            if 0 < lines[best[0]].y - lines[i].y <= 1.6 * lines[best[0]].size:
-                best.append(i)
-                member.add(i)
-        touches = lambda b: any(abs(x - columns[0]) <= 2.0 for i in b for x, _ in segments[i])
-        while bands and not touches(bands[0]):
-            bands.pop(0)
-        while bands and not touches(bands[-1]):
-            bands.pop()
-        if len(bands) < 2:
-            continue
-        grid: list[list[str]] = []
-        for band in bands:
-            cells: list[list[tuple[float, float, Run]]] = [[] for _ in columns]
-            for i in band:
-                for run in lines[i].runs:
-                    cells[edge_of(run.x, columns)].append((-run.y, run.x, run))
-            row = []
-            for parts in cells:
-                parts.sort(key=lambda p: p[:2])
-                by_line: list[list[Run]] = []
-                for _, _, run in parts:
-                    if by_line and abs(by_line[-1][0].y - run.y) <= 0.5 * run.size:
-                        by_line[-1].append(run)
-                    else:
-                        by_line.append([run])
-                row.append("\n".join(joined_runs(r, False, 0.15) for r in by_line))
-            grid.append(row)
-        sizes = sorted(lines[i].size for b in bands[1:] for i in b)
-        middle = sizes[len(sizes) // 2] if sizes else 0.0
-        head = max(lines[i].size for i in bands[0]) >= 1.15 * middle if sizes else False
-        tables.append(Table(grid[0] if head else [], grid[1:] if head else grid, {i for b in bands for i in b}))
-    return tables
+    found = (_table(lines, region, edges, hits) for region in _regions(_bands(lines, hits)))
+    return [t for t in found if t is not None]
 
 
 _RUN_COLUMNS = ("text", "x", "y", "size", "w", "vert")
@@ -238,38 +267,51 @@ def _runs(frame: pd.DataFrame) -> list[Run]:
 
 
 def lines_of(runs: DataFrame) -> DataFrame:
-    """(path, page, line, block, text, x, y, size, vert) of ``pdf_runs``, page by page."""
+    """(path, page, line, block, text, x, y, size, vert) of ``pdf_runs``, page by page, and ``x_end``, ``y_low`` and ``y_high``: the
+    greatest x and the range of y at which runs of the line begin."""
     ship(runs.sparkSession)
+    names = ["path", "page", "line", "block", "text", "x", "y", "size", "vert", "x_end", "y_low", "y_high"]
 
     def page(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rows, n = [], 0
         for b, block in enumerate(fold_blocks(fold_lines(_runs(frame)))):
             for line in block.lines:
-                rows.append((key[0], key[1], n, b, line.text, line.x, line.y, line.size, line.vert))
+                ys = [r.y for r in line.runs]
+                rows.append((key[0], key[1], n, b, line.text, line.x, line.y, line.size, line.vert, max(r.x for r in line.runs), min(ys), max(ys)))
                 n += 1
-        return pd.DataFrame(rows, columns=["path", "page", "line", "block", "text", "x", "y", "size", "vert"])
+        return pd.DataFrame(rows, columns=names)
 
-    return runs.groupBy("path", "page").applyInPandas(page, "path string, page int, line int, block int, text string, x double, y double, size double, vert boolean")
+    schema = "path string, page int, line int, block int, text string, x double, y double, size double, vert boolean, x_end double, y_low double, y_high double"
+    return runs.groupBy("path", "page").applyInPandas(page, schema)
 
 
 def tables_of(runs: DataFrame) -> DataFrame:
-    """(path, page, idx, headers, rows) of the tables on each page."""
+    """(path, page, idx, headers, rows, members, x, y, w, h) of the tables on each page; ``members`` are the lines they take."""
     ship(runs.sparkSession)
+    names = ["path", "page", "idx", "headers", "rows", "members", "x", "y", "w", "h"]
 
     def page(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         found = find_tables(fold_lines(_runs(frame)))
-        rows = [(key[0], key[1], k, t.headers, t.rows) for k, t in enumerate(found)]
-        return pd.DataFrame(rows, columns=["path", "page", "idx", "headers", "rows"])
+        rows = [(key[0], key[1], k, t.headers, t.rows, sorted(t.members), t.x, t.y, t.w, t.h) for k, t in enumerate(found)]
+        return pd.DataFrame(rows, columns=names)
+
+    schema = "path string, page int, idx int, headers array<string>, rows array<array<string>>, members array<int>, x double, y double, w double, h double"
+    return runs.groupBy("path", "page").applyInPandas(page, schema)
 
-    return runs.groupBy("path", "page").applyInPandas(page, "path string, page int, idx int, headers array<string>, rows array<array<string>>")
 
+def sheet_of(lines: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Blocks with their kinds: (path, page, block, kind, text, x, y, w, h, size), by the page's own body size.
 
-def sheet_of(lines: DataFrame) -> DataFrame:
-    """Blocks with their kinds: (path, page, block, kind, text, x, y, size), by the page's own body size."""
+    Lines that a table takes are not in blocks too; a block of such lines alone is no row.  The body size is that of all lines."""
     from .documents import first_to_max, joined_text
 
     body = first_to_max(lines, ["path", "page"], "size", "line", "body")
+    if tables is not None:
+        taken = tables.select("path", "page", F.explode("members").alias("line"))
+        lines = lines.join(taken, ["path", "page", "line"], "left_anti")
     text = joined_text(lines, ["path", "page", "block"], ["line"], "text", "\n")
-    shape = lines.groupBy("path", "page", "block").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.max("size").alias("size"))
+    shape = lines.groupBy("path", "page", "block").agg(
+        F.min("x").alias("x"), F.min("y_low").alias("y"), (F.max("x_end") - F.min("x")).alias("w"), (F.max("y_high") - F.min("y_low")).alias("h"), F.max("size").alias("size")
+    )
     both = text.join(shape, ["path", "page", "block"]).join(body, ["path", "page"])
-    return both.select("path", "page", "block", block_kind(F.col("text"), F.col("size"), F.col("body")).alias("kind"), "text", "x", "y", "size")
+    return both.select("path", "page", "block", block_kind(F.col("text"), F.col("size"), F.col("body")).alias("kind"), "text", "x", "y", "w", "h", "size")

@@ -33,27 +33,27 @@ def first_range(
     return points.join(best, key, "left").select(*points.columns, *(F.col(f"__best.{c}").alias(c) for c in take))
 
 
-def as_of(points: DataFrame, starts: DataFrame, at: str, start: str, order: str, take: list[str], broadcast_rows: int = 100_000) -> DataFrame:
+def as_of(points: DataFrame, starts: DataFrame, at: str, start: str, order: str, take: list[str], parts: int = 64) -> DataFrame:
     """``points`` with the columns of the greatest ``start`` that is not above ``at``; of equal starts the last listed.
 
-    Starts become ranges that end before the next start.  A list of at most ``broadcast_rows`` different starts, which is
-    counted first, is broadcast; for a longer one points and starts are merged in one sort instead, and each point takes the
-    last start before it.
+    The line of numbers is cut at quantiles of the starts, which are read first, so a number's part never depends on how rows
+    were dealt out.  Inside a part, starts and different points are merged in one sort and each point takes the last start
+    before it; what a part takes over from those before is one row per part.
     """
-    kept = starts.groupBy(start).agg(F.max_by(F.struct(*take), F.col(order)).alias("__take"))
-    if kept.count() <= broadcast_rows:
-        ranges = kept.withColumn("__end", F.coalesce(F.lead(start).over(Window.orderBy(start)) - 1, F.lit(2**62)))
-        joined = points.join(F.broadcast(ranges), (F.col(at) >= F.col(start)) & (F.col(at) <= F.col("__end")), "left")
-        return joined.select(*points.columns, *(F.col(f"__take.{c}").alias(c) for c in take))
-    marks = kept.select(F.col(start).cast("long").alias("__at"), "__take", F.lit(0).alias("__point"))
-    asked = points.select(F.col(at).cast("long").alias("__at")).distinct().select("__at", F.lit(None).cast(kept.schema["__take"].dataType).alias("__take"), F.lit(1).alias("__point"))
-    parted = marks.unionByName(asked).repartitionByRange("__at").withColumn("__part", F.spark_partition_id())
-    parted = parted.checkpoint() if points.sparkSession.sparkContext.getCheckpointDir() else parted.persist()
-    inside = Window.partitionBy("__part").orderBy("__at", "__point")
+    kept = starts.groupBy(F.col(start).cast("long").alias("__at")).agg(F.max_by(F.struct(*take), F.col(order)).alias("__take"))
+    shares = ", ".join(f"{k / parts}D" for k in range(1, parts))
+    cuts = sorted(set(kept.agg(F.expr(f"percentile_approx(__at, array({shares}), {100 * parts})")).first()[0] or [])) if parts > 1 else []
+    bounds = F.array(*(F.lit(int(c)) for c in cuts)) if cuts else F.array().cast("array<bigint>")
+    part = lambda x: F.size(F.filter(bounds, lambda b: b <= x))
+    kind = kept.schema["__take"].dataType
+    asked = points.filter(F.col(at).isNotNull()).select(F.col(at).cast("long").alias("__at")).distinct().select("__at", F.lit(None).cast(kind).alias("__take"), F.lit(1).alias("__point"))
+    both = kept.select("__at", "__take", F.lit(0).alias("__point")).unionByName(asked).withColumn("__part", part(F.col("__at")))
     last = F.last("__take", ignorenulls=True)
-    ends = parted.groupBy("__part").agg(F.max_by("__take", F.when(F.col("__take").isNotNull(), F.col("__at"))).alias("__take"))
-    carried = ends.withColumn("__before", last.over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).select("__part", "__before")
-    found = parted.withColumn("__here", last.over(inside)).join(F.broadcast(carried), "__part").filter("__point = 1")
+    inside = Window.partitionBy("__part").orderBy("__at", "__point")
+    ends = kept.groupBy(part(F.col("__at")).alias("__part")).agg(F.max_by("__take", "__at").alias("__end"))  # at most ``parts`` rows
+    every = points.sparkSession.range(parts).select(F.col("id").cast("int").alias("__part")).join(F.broadcast(ends), "__part", "left")
+    before = every.withColumn("__before", F.last("__end", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
+    found = both.withColumn("__here", last.over(inside)).filter("__point = 1").join(F.broadcast(before.select("__part", "__before")), "__part")
     found = found.select("__at", F.coalesce("__here", "__before").alias("__take"))
     joined = points.join(found, F.col(at).cast("long") == F.col("__at"), "left")
     return joined.select(*points.columns, *(F.col(f"__take.{c}").alias(c) for c in take))

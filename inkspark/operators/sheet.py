@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import ranges
+from .lookups import linked
 
 
 def cell_texts(cells: DataFrame, strings: DataFrame) -> DataFrame:
@@ -101,13 +102,10 @@ def formulas(cells: DataFrame) -> DataFrame:
 
 def styles(cells: DataFrame, xfs: DataFrame, fonts: DataFrame, fills: DataFrame) -> DataFrame:
     """``cells`` with font and fill of their format, each only where the format applies it; what is missing is null."""
-    font = fonts.select(F.col("path").alias("__fp"), "font_id", F.col("name").alias("font_name"), F.col("size").alias("font_size"), "bold", "italic", F.col("color").alias("font_color"))
-    fill = fills.select(F.col("path").alias("__lp"), "fill_id", "pattern", F.col("fg").alias("fill_color"))
-    xf = xfs.select(F.col("path").alias("__xp"), F.col("style_idx").alias("__x"), F.col("font_id").alias("__font"), F.col("fill_id").alias("__fill"), "apply_font", "apply_fill")
-    joined = cells.join(xf, (F.col("path") == F.col("__xp")) & (F.col("style_idx") == F.col("__x")), "left")
-    joined = joined.join(font, (F.col("path") == F.col("__fp")) & (F.col("__font") == F.col("font_id")) & F.col("apply_font"), "left")
-    joined = joined.join(fill, (F.col("path") == F.col("__lp")) & (F.col("__fill") == F.col("fill_id")) & F.col("apply_fill"), "left")
-    return joined.select(*cells.columns, "font_name", "font_size", "bold", "italic", "font_color", "pattern", "fill_color")
+    xf = {"__font": "font_id", "__fill": "fill_id", "__use_font": "apply_font", "__use_fill": "apply_fill"}
+    rows = linked(cells, xfs, ["path", "style_idx"], ["path", "style_idx"], xf)
+    rows = linked(rows, fonts, ["path", "__font"], ["path", "font_id"], {"font_name": "name", "font_size": "size", "bold": "bold", "italic": "italic", "font_color": "color"}, F.col("__use_font"))
+    return linked(rows, fills, ["path", "__fill"], ["path", "fill_id"], {"pattern": "pattern", "fill_color": "fg"}, F.col("__use_fill")).drop(*xf)
 
 
 def workbook(spark: SparkSession, path: str) -> dict[str, DataFrame]:

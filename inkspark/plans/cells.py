@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 from ..functions import numbers as N
 from ..functions import numfmt
-from ..operators import grid, ranges
+from ..operators import grid, lookups, ranges, sheet
 from .text import read
 
 
@@ -113,25 +113,25 @@ def col_width_last_wins(spark: SparkSession, d: str) -> DataFrame:
 def row_visible_default(spark: SparkSession, d: str) -> DataFrame:
     """Rows without a record of their own are visible."""
     hidden = read(spark, d, "customer").filter("c_nationkey < 5").select("c_custkey", (F.col("c_acctbal") < 0).alias("hidden"))
-    orders = read(spark, d, "orders").join(hidden, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return orders.select("o_orderkey", (~F.coalesce("hidden", F.lit(False))).alias("visible"))
+    rows = lookups.with_default(read(spark, d, "orders").select("o_orderkey", "o_custkey"), hidden, ["o_custkey"], ["c_custkey"], "hidden", F.lit(False))
+    return rows.select("o_orderkey", (~F.col("hidden")).alias("visible"))
 
 
 def defined_name_scope(spark: SparkSession, d: str) -> DataFrame:
     """Names with a workbook's and a sheet's definition: the sheet's is taken where there is one."""
     book = read(spark, d, "nation").select("n_nationkey", "n_name", F.concat(F.lit("Book!"), "n_name").alias("book"))
-    sheet = read(spark, d, "region").filter("r_regionkey <> 2").select("r_regionkey", F.concat(F.lit("Sheet!"), "r_name").alias("sheet"))
-    joined = book.join(sheet, (book.n_nationkey % 7) == sheet.r_regionkey, "left")
-    return joined.select("n_name", F.coalesce("sheet", "book").alias("refers_to"), F.when(F.col("sheet").isNull(), "workbook").otherwise("sheet").alias("scope"))
+    local = read(spark, d, "region").filter("r_regionkey <> 2").select("r_regionkey", F.concat(F.lit("Sheet!"), "r_name").alias("sheet"))
+    return lookups.scoped(book, local, [F.col("n_nationkey") % 7], ["r_regionkey"], "sheet", "book").select("n_name", "refers_to", "scope")
 
 
 def style_chain(spark: SparkSession, d: str) -> DataFrame:
     """Cell to format to font and fill, each only where its flag applies it; missing ones are absent."""
-    part = read(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_type")
-    fonts = part.groupBy(F.col("p_brand").alias("font_key")).agg(F.max("p_size").alias("font_size")).filter("font_size % 2 = 0")
-    fills = part.groupBy(F.col("p_type").alias("fill_key")).agg(F.min("p_size").alias("fill_tone"))
-    joined = part.join(fonts, (part.p_brand == fonts.font_key) & (part.p_size % 3 != 0), "left").join(fills, (part.p_type == fills.fill_key) & (part.p_size % 4 != 0), "left")
-    return joined.select("p_partkey", "font_size", "fill_tone")
+    part = read(spark, d, "part").select(F.lit("book").alias("path"), "p_partkey", "p_size", "p_brand", "p_type")
+    cells = part.select("path", "p_partkey", F.col("p_partkey").alias("style_idx"))
+    xfs = part.select("path", F.col("p_partkey").alias("style_idx"), F.col("p_brand").alias("font_id"), F.col("p_type").alias("fill_id"), (F.col("p_size") % 3 != 0).alias("apply_font"), (F.col("p_size") % 4 != 0).alias("apply_fill"))
+    fonts = part.groupBy("path", F.col("p_brand").alias("font_id")).agg(F.max("p_size").alias("size")).filter("size % 2 = 0").select("*", F.lit("f").alias("name"), F.lit(True).alias("bold"), F.lit(False).alias("italic"), F.lit("0").alias("color"))
+    fills = part.groupBy("path", F.col("p_type").alias("fill_id")).agg(F.min("p_size").alias("fg")).withColumn("pattern", F.lit("solid"))
+    return sheet.styles(cells, xfs, fonts, fills).select("p_partkey", "font_size", F.col("fill_color").alias("fill_tone"))
 
 
 def numfmt_fixed_2(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import metadata as M
 from ..operators import documents as D
-from ..operators import layout, ranges
+from ..operators import layout, lookups, ranges
 from .text import read
 
 
@@ -85,17 +85,12 @@ def word_gap_join(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "lineitem").select(
         "l_orderkey", (F.col("l_linenumber") * 10.0).alias("x"), (F.col("l_quantity") / 5).alias("w"), "l_returnflag", F.col("l_partkey").alias("k"), "l_extendedprice"
     )
-    over = Window.partitionBy("l_orderkey").orderBy("x", "k", "l_extendedprice")
-    gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(over)
-    placed = rows.withColumn("n", F.row_number().over(over)).withColumn("piece", F.concat(F.when(gap >= 1.5, " ").otherwise(""), "l_returnflag"))
-    return D.joined_text(placed, ["l_orderkey"], ["n"], "piece", "")
+    return lookups.gap_joined(rows, ["l_orderkey"], ["x", "k", "l_extendedprice"], "x", "w", "l_returnflag", 1.5)
 
 
 def run_byte_starts(spark: SparkSession, d: str) -> DataFrame:
     """Where each turn begins in bytes."""
-    over = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.octet_length("text").cast("long")).over(over), F.lit(0))
-    return read(spark, d, "conversations").select("conv_id", "turn", start.alias("start"))
+    return lookups.byte_starts(read(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id"], ["turn"], "text").drop("text")
 
 
 def page_labels_roman(spark: SparkSession, d: str) -> DataFrame:
@@ -169,9 +164,7 @@ def numbering_override(spark: SparkSession, d: str) -> DataFrame:
     """Levels of lists: an override takes the place of the base where there is one, the last listed of several."""
     base = read(spark, d, "nation").select("n_nationkey", "n_regionkey", F.concat(F.lit("base"), F.col("n_nationkey")).alias("base"))
     over = read(spark, d, "supplier").filter("s_nationkey % 2 = 0").select("s_nationkey", "s_suppkey", "s_name")
-    last = D.newest(over, "s_nationkey", "s_suppkey", ["s_name"])
-    joined = base.join(last, base.n_nationkey == last.s_nationkey, "left")
-    return joined.select("n_nationkey", F.coalesce("s_name", "base").alias("level"))
+    return lookups.overridden(base, over, ["n_nationkey"], "s_nationkey", "s_suppkey", "s_name", "level", "base").select("n_nationkey", "level")
 
 
 def theme_color(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formula, numfmt
@@ -130,22 +130,45 @@ def layout_tables(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("path").cast("long").alias("region"), F.col("at").cast("long").alias("at"), F.array_join("cells", "|").alias("cells"))
 
 
-def _per_order():
-    from pyspark.sql import Window
+def _wrapped_runs(spark: SparkSession, d: str) -> DataFrame:
+    """A page per region: a table whose first column wraps, body text, and a table of three columns."""
+    rows = read(spark, d, "nation").withColumn("n", F.row_number().over(_per_region()))
+    at = lambda x, y, text: F.struct(F.lit(float(x)).alias("x"), y.cast("double").alias("y"), text.alias("text"))
+    n, key = F.col("n"), F.col("n_nationkey").cast("string")
+    placed = F.array(
+        at(50, 700 - 30 * n, F.col("n_name")), at(250, 700 - 30 * n, key), at(50, 688 - 30 * n, F.concat(F.lit("sub"), n)), at(120, 500 - 20 * n, F.concat(F.lit("body "), n)),
+        at(50, 300 - 20 * n, key), at(180, 300 - 20 * n, F.col("n_name")), at(320, 300 - 20 * n, F.concat(F.lit("c"), n)),
+    )
+    runs = rows.select(F.col("n_regionkey").cast("string").alias("path"), F.lit(0).alias("page"), F.explode(placed).alias("r")).select("path", "page", "r.*")
+    order = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("y"), "x"))
+    return runs.select("path", "page", order.alias("run_idx"), "text", "x", "y", F.lit(10.0).alias("size"), F.lit(40.0).alias("w"), F.lit(False).alias("vert"))
+
+
+def layout_wrapped(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables on a page; lines on one edge are wrapped parts of the row above."""
+    found = layout.tables_of(_wrapped_runs(spark, d)).select("path", "idx", F.posexplode("rows").alias("at", "cells"))
+    return found.select(F.col("path").cast("long").alias("region"), F.col("idx").cast("long").alias("idx"), F.col("at").cast("long").alias("at"), F.array_join("cells", "|").alias("cells"))
 
+
+def layout_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """What of those pages is not in tables, as rows with their kinds."""
+    runs = _wrapped_runs(spark, d)
+    found = layout.sheet_of(layout.lines_of(runs), layout.tables_of(runs))
+    return found.select(F.col("path").cast("long").alias("region"), "kind", "text", "x", "y", "w", "h")
+
+
+def _per_order():
     return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
 
 
 def _per_region():
-    from pyspark.sql import Window
-
     return Window.partitionBy("n_regionkey").orderBy("n_nationkey")
 
 
 _ROWS = "SELECT c_nationkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 1 AS row FROM customer"
 _MONEY = "CASE WHEN c_acctbal < 0 THEN '(' || {body} || ')' ELSE {body} || ' ' END".format(body=_fixed("c_acctbal", 0, True, False))
 
-QUERIES = {f.__name__: f for f in (zip_entries, docx_flat_text, pdf_words, xlsx_display, formula_render, layout_lines, layout_tables)}
+QUERIES = {f.__name__: f for f in (zip_entries, docx_flat_text, pdf_words, xlsx_display, formula_render, layout_lines, layout_tables, layout_wrapped, layout_sheet)}
 ORACLES = {
     "zip_entries": """SELECT doc_id, 'text.txt' AS name, 'deflated' AS method, CAST(strlen(text) AS BIGINT) AS usize, md5(text) AS md5 FROM documents
         UNION ALL SELECT doc_id, 'empty', 'stored', 0, md5('') FROM documents""",
@@ -153,5 +176,17 @@ ORACLES = {
     "pdf_words": "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\n\\t\\r]+', ' ', 'g'))) AS md5 FROM documents",
     "xlsx_display": f"SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, row, 2::BIGINT AS col, {_fixed('c_acctbal', 2, True)} AS shown FROM ({_ROWS}) UNION ALL SELECT c_nationkey, row, 4, {_MONEY} FROM ({_ROWS})",
     "formula_render": "SELECT p_partkey, 'SUM(My Sheet!$A$' || p_size || ':B' || (p_size + 3) || ')+-' || p_size || '%' AS rendered FROM part",
+    "layout_lines": """WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS n, l_returnflag || l_linestatus AS t,
+          l_linenumber * 40.0 AS x, 700.0 - floor(l_quantity / 10) * 14 AS y FROM lineitem),
+        g AS (SELECT *, CASE WHEN abs(y - lag(y) OVER (PARTITION BY l_orderkey ORDER BY n)) > 6 THEN 1 ELSE 0 END AS new FROM r),
+        l AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY n) AS line FROM g),
+        p AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY l_orderkey, line ORDER BY x, n) - 20 >= 1.8 THEN ' ' ELSE '' END || t AS piece FROM l),
+        j AS (SELECT l_orderkey, line, string_agg(piece, '' ORDER BY x, n) AS text, min(x) AS x, min(y) AS y FROM p GROUP BY 1, 2),
+        b AS (SELECT *, CASE WHEN abs(y - lag(y) OVER w) <= 18 AND abs(x - lag(x) OVER w) <= 24 THEN 0 ELSE 1 END AS cut FROM j WINDOW w AS (PARTITION BY l_orderkey ORDER BY line))
+        SELECT CAST(l_orderkey AS VARCHAR) AS path, CAST(line AS INTEGER) AS line, CAST(sum(cut) OVER (PARTITION BY l_orderkey ORDER BY line) - 1 AS INTEGER) AS block, text FROM b""",
+    "layout_wrapped": """WITH n AS (SELECT CAST(n_regionkey AS BIGINT) AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n, n_name, n_nationkey FROM nation)
+        SELECT region, 0::BIGINT AS idx, n - 1 AS at, n_name || chr(10) || 'sub' || n || '|' || n_nationkey AS cells FROM n UNION ALL SELECT region, 1, n - 1, n_nationkey || '|' || n_name || '|c' || n FROM n""",
+    "layout_sheet": """SELECT CAST(n_regionkey AS BIGINT) AS region, 'paragraph' AS kind, 'body ' || row_number() OVER w AS text, 120::DOUBLE AS x, (500 - 20 * row_number() OVER w)::DOUBLE AS y, 0::DOUBLE AS w, 0::DOUBLE AS h
+        FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)""",
     "layout_tables": "SELECT CAST(n_regionkey AS BIGINT) AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS at, n_name || '|' || n_nationkey AS cells FROM nation",
 }

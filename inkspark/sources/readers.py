@@ -3,7 +3,9 @@
 :func:`read_table` goes through ``binaryFile``, so every file system that Spark knows works and a file is a unit of work;
 the parsers run in Arrow batches.  ``mode`` is FAILFAST (an error names the file) or PERMISSIVE (a row with ``_error``).
 :func:`register` adds data sources ``inkspark_zip``, ``inkspark_xlsx``, ``inkspark_docx`` and ``inkspark_pdf`` for
-``spark.read.format(..).option("table", ..)`` over mounted folders; the xlsx source takes filters on ``sheet``.
+``spark.read.format(..).option("table", ..)`` over mounted folders (a Python data source has no access to Spark's file
+systems; for object stores use :func:`read_table`); the xlsx source takes filters on ``sheet``, and all take ``mode``.  zip, docx
+and pdf can be written too (:mod:`inkspark.sinks.writers`).
 """
 
 from __future__ import annotations
@@ -103,8 +105,8 @@ class _Part(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, kind: str, options: dict[str, str]):
-        self.kind, self.options = kind, dict(options)
+    def __init__(self, kind: str, options: dict[str, str], width: int):
+        self.kind, self.options, self.width = kind, dict(options), width
         self.sheet: str | None = options.get("sheet")
 
     def pushFilters(self, filters):  # noqa: N802  the name that Spark calls
@@ -123,24 +125,36 @@ class _Reader(DataSourceReader):
             data = f.read()
         extra = {k: v for k, v in (("sheet", self.sheet), ("password", self.options.get("password"))) if v}
         table = self.options.get("table", next(iter(FORMATS[self.kind][0])))
+        lenient = self.options.get("mode", "").upper() == "PERMISSIVE"
         try:
             found = FORMATS[self.kind][1](data, table=table, **extra)[table]
         except FormatError as error:
             if self.kind == "xlsx" and str(error).startswith("no sheet"):
                 return
+            if lenient:
+                yield (partition.path, *[None] * (self.width - 2), str(error))
+                return
             raise FormatError(f"{partition.path}: {error}") from None
         for row in found:
-            yield (partition.path, *row)
+            yield (partition.path, *row, None) if lenient else (partition.path, *row)
 
 
 class _Source(DataSource):
     kind = ""
 
     def schema(self) -> str:
-        return table_schema(self.kind, self.options.get("table", next(iter(FORMATS[self.kind][0]))))
+        kept = ", _error string" if self.options.get("mode", "").upper() == "PERMISSIVE" else ""
+        return table_schema(self.kind, self.options.get("table", next(iter(FORMATS[self.kind][0])))) + kept
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.kind, self.options)
+        return _Reader(self.kind, self.options, len(schema))
+
+    def writer(self, schema, overwrite: bool):
+        from ..sinks.writers import NEEDED, FileWriter
+
+        if self.kind not in NEEDED:
+            raise FormatError(f"{self.kind} files cannot be written from rows")
+        return FileWriter(self.kind, dict(self.options), schema.fieldNames(), overwrite)
 
 
 class ZipSource(_Source):

@@ -59,15 +59,16 @@ def test_first_to_max_and_labels(spark):
     assert tuple(row) == ("xmcmxciv", "ab", "p")
 
 
-def test_as_of_by_sort_and_by_broadcast(spark):
+def test_as_of(spark):
     from inkspark.operators import ranges
 
     starts = spark.createDataFrame([(1, 10, "a"), (2, 20, "b"), (3, 20, "c"), (4, 35, "d")], "ord int, start long, name string")
     points = spark.createDataFrame([(k,) for k in (0, 9, 10, 19, 20, 34, 35, 99, 99)], "p long")
     want = [(0, None), (9, None), (10, "a"), (19, "a"), (20, "c"), (34, "c"), (35, "d"), (99, "d"), (99, "d")]
-    for rows in (100, 0):
-        got = ranges.as_of(points, starts, "p", "start", "ord", ["name"], broadcast_rows=rows).collect()
+    for parts in (64, 2, 1):
+        got = ranges.as_of(points, starts, "p", "start", "ord", ["name"], parts=parts).collect()
         assert sorted(tuple(r) for r in got) == want
+    assert ranges.as_of(points, starts.limit(0), "p", "start", "ord", ["name"]).filter("name IS NULL").count() == 9
 
 
 def test_entry():

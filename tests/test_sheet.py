@@ -24,7 +24,7 @@ def test_sheet_operators(spark, tmp_path):
     t = sheet.workbook(spark, str(tmp_path / "w.xlsx"))
     cells = sheet.cell_texts(t["cells"], t["shared_strings"])
     shown = {(r["row"], r["col"]): r["shown"] for r in sheet.display(cells, t["xfs"], t["num_fmts"], t["sheets"]).collect()}
-    assert shown[1, 1] == "hello" and shown[1, 2] == "2023-01-01" and shown[2, 1] == "TRUE" and shown[1, 3] == "1"
+    assert shown[1, 1] == "cedar" and shown[1, 2] == "2023-01-01" and shown[2, 1] == "TRUE" and shown[1, 3] == "1"
     anchors = {(r["row"], r["col"]): (r["anchor_row"], r["anchor_col"]) for r in sheet.merge_anchors(cells, t["merges"]).collect()}
     assert anchors[1, 2] == (1, 1) and anchors[2, 3] == (1, 3) and anchors[2, 4] == (None, None)
     columns = spark.createDataFrame([(cells.first()["path"], "One", k) for k in (1, 2, 3, 4)], "path string, sheet string, col int")
@@ -36,7 +36,7 @@ def test_sheet_operators(spark, tmp_path):
 
 
 def test_colors_and_pixels():
-    assert colors.tinted("4472C4", 0) == "4472C4" and colors.tinted("000000", 0.5) == "808080" and colors.tinted("FFFFFF", -0.25) == "BFBFBF"
+    assert colors.tinted("8A2F6B", 0) == "8A2F6B" and colors.tinted("000000", 0.5) == "808080" and colors.tinted("FFFFFF", -0.25) == "BFBFBF"
     one = colors.samples(bytes([0b10110000, 0b01000000]), 4, 2, 1, 1)
     assert one[..., 0].tolist() == [[1, 0, 1, 1], [0, 1, 0, 0]] and colors.to_rgb(one, "DeviceGray", 1)[0, 0].tolist() == [255] * 3
     assert colors.to_rgb(np.array([[[0, 255, 0, 0]]], np.uint8), "DeviceCMYK").tolist() == [[[255, 0, 255]]]
