@@ -37,6 +37,17 @@ def flat_text(runs: DataFrame, document: Sequence[str], paragraph: Sequence[str]
     return joined_text(paragraphs, document, paragraph, "__p", "\n")
 
 
+def side_blocks(sections: DataFrame, content: DataFrame, side: str = "headers", section: int = -1, kind: str = "") -> DataFrame:
+    """Rows of ``content`` (path, part, ...) that stand in the headers or footers of one section of each document, with the
+    ``kind`` of the reference (default, first, even) and its place ``ord``; a negative section is the last, an empty kind
+    means all.  A document with fewer sections raises; one without any has no rows."""
+    at = F.col("section_idx")
+    last = F.max(at)
+    found = F.max_by(side, at) if section < 0 else F.when(last < section, F.raise_error(F.concat(F.lit(f"no section {section} in "), F.col("path")))).otherwise(F.max_by(side, F.when(at == section, at)))
+    refs = sections.groupBy("path").agg(found.alias("__refs")).select("path", F.posexplode("__refs").alias("ord", "kind", "part"))
+    return (refs.filter(F.col("kind") == kind) if kind else refs).join(content, ["path", "part"])
+
+
 def selected_pages(pages: DataFrame, wanted: DataFrame, page: str, out: str) -> DataFrame:
     """The pages of a list, in its order and as often as it names them: ``wanted`` has ``out`` and ``page``."""
     return wanted.join(pages, page)

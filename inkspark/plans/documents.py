@@ -160,6 +160,17 @@ def outline_paths(spark: SparkSession, d: str) -> DataFrame:
     return D.tree_paths(spark, region.union(nation).union(customer), "node", "parent", "title").select("node", _long("depth"), "path")
 
 
+def header_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as sections of their nation's document: all headers of the last section, and footers of the first for first pages."""
+    rows = read(spark, d, "customer").withColumn("n", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1)
+    part = lambda kind: F.concat(F.lit(kind), F.col("c_custkey"))
+    refs = F.create_map(F.lit("first"), part("f"), F.lit("default"), part("d"))
+    sections = rows.select(F.col("c_nationkey").cast("string").alias("path"), F.col("n").alias("section_idx"), refs.alias("headers"), refs.alias("footers"))
+    content = rows.select(F.col("c_nationkey").cast("string").alias("path"), F.explode(F.array(part("f"), part("d"))).alias("part"), F.col("c_name").alias("text"))
+    both = D.side_blocks(sections, content).withColumn("side", F.lit("header")).union(D.side_blocks(sections, content, "footers", 0, "first").withColumn("side", F.lit("footer")))
+    return both.select(F.col("path").cast("long").alias("nation"), "side", _long("ord"), "kind", "part", "text")
+
+
 def numbering_override(spark: SparkSession, d: str) -> DataFrame:
     """Levels of lists: an override takes the place of the base where there is one, the last listed of several."""
     base = read(spark, d, "nation").select("n_nationkey", "n_regionkey", F.concat(F.lit("base"), F.col("n_nationkey")).alias("base"))
@@ -202,7 +213,7 @@ QUERIES = {
     for f in (
         search_excerpt, flat_text_conversations, flat_text_accept, revisions_reject, page_text_join, classify_lines, body_size_mode, block_islands, word_gap_join,
         run_byte_starts, page_labels_roman, page_labels_alpha, label_asof, pdf_date_parse, mime_guess, byte_range_sha256, extract_pages, merge_documents,
-        outline_paths, numbering_override, theme_color, field_kind, xref_newest_wins, smallest_free_id,
+        outline_paths, header_blocks, numbering_override, theme_color, field_kind, xref_newest_wins, smallest_free_id,
     )
 }
 ORACLES = {
@@ -246,6 +257,9 @@ ORACLES = {
     "outline_paths": """SELECT 'r' || r_regionkey AS node, 0::BIGINT AS depth, r_name AS path FROM region UNION ALL
         SELECT 'n' || n_nationkey, 1, r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL
         SELECT 'c' || c_custkey, 2, r_name || '/' || n_name || '/' || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "header_blocks": """WITH s AS (SELECT CAST(c_nationkey AS BIGINT) AS nation, min(c_custkey) AS a, max(c_custkey) AS b FROM customer GROUP BY 1)
+        SELECT nation, 'header' AS side, k::BIGINT AS ord, CASE k WHEN 0 THEN 'first' ELSE 'default' END AS kind, CASE k WHEN 0 THEN 'f' ELSE 'd' END || b AS part, c_name AS text
+        FROM s JOIN customer ON c_custkey = b, range(0, 2) t(k) UNION ALL SELECT nation, 'footer', 0, 'first', 'f' || a, c_name FROM s JOIN customer ON c_custkey = a""",
     "numbering_override": """SELECT n_nationkey, coalesce(s_name, 'base' || n_nationkey) AS level FROM nation LEFT JOIN
         (SELECT s_nationkey, arg_max(s_name, s_suppkey) AS s_name FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY s_nationkey) ON n_nationkey = s_nationkey""",
     "theme_color": f"""SELECT p_partkey, string_agg({_CHANNEL}, '' ORDER BY c) AS color FROM

@@ -72,7 +72,7 @@ def _fields(doc: Document) -> dict[str, tuple[Ref, dict, dict]]:
         node = doc.resolve(ref)
         if not isinstance(node, dict) or depth > 32:
             return
-        own = inherited | {k: node[k] for k in ("FT", "Ff", "V", "MaxLen", "Opt") if k in node}
+        own = inherited | {k: node[k] for k in ("FT", "Ff", "V", "DV", "MaxLen", "Opt") if k in node}
         part = text_string(doc.resolve(node["T"])) if "T" in node else ""
         full = f"{name}.{part}" if name and part else name or part
         inner = [k for k in doc.resolve(node.get("Kids")) or [] if "T" in (doc.resolve(k) or {})]
@@ -86,63 +86,150 @@ def _fields(doc: Document) -> dict[str, tuple[Ref, dict, dict]]:
     return out
 
 
-def fill(data: bytes, values: dict[str, str | bool]) -> bytes:
-    """The file with form fields set by an appended update: texts (cut to their longest), choices by display or export
-    value, boxes and radio buttons by state or truth.  Unknown and read-only fields are refused."""
+def _opened(data: bytes) -> tuple[Document, dict[str, tuple[Ref, dict, dict]]]:
     doc = Document.open(data)
     if "Encrypt" in doc.trailer:
         raise FormatError("an encrypted file cannot be filled")
-    fields = _fields(doc)
+    return doc, _fields(doc)
+
+
+def _shape(doc: Document, own: dict) -> tuple[str, int]:
+    return str(doc.resolve(own.get("FT")) or ""), int(doc.resolve(own.get("Ff")) or 0)
+
+
+def _writable(doc: Document, fields: dict[str, tuple[Ref, dict, dict]], name: str) -> tuple[Ref, dict, dict]:
+    if name not in fields:
+        raise FormatError(f"no field {name!r}")
+    if _shape(doc, fields[name][2])[1] & 1:
+        raise FormatError(f"field {name!r} is read-only")
+    return fields[name]
+
+
+def _options(doc: Document, own: dict) -> list[tuple[str, str]]:
+    """(export, display) of each option."""
+    out = []
+    for o in doc.resolve(own.get("Opt")) or []:
+        o = doc.resolve(o)
+        out.append((text_string(o[0]), text_string(o[1])) if isinstance(o, list) else (text_string(o), text_string(o)))
+    return out
+
+
+def _pressed(doc: Document, name: str, ref: Ref, node: dict, value: str | bool | None) -> dict[int, object]:
+    """Objects of a box or a group of radio buttons in a state; None leaves it without a value, and off."""
+    changes: dict[int, object] = {}
+    widgets = [(ref, node), *((k, doc.resolve(k)) for k in doc.resolve(node.get("Kids")) or [])]
+    states = {id(w): [s for s in _states(doc, w) if s != "Off"] for _, w in widgets}
+    every = [s for _, w in widgets for s in states[id(w)]]
+    if isinstance(value, bool):
+        last = next((states[id(w)] for _, w in reversed(widgets) if states[id(w)]), ["Yes"])
+        value = last[0] if value else "Off"
+    elif value is not None and value != "Off" and value not in every:
+        raise FormatError(f"field {name!r} has no state {value!r}")
+    for r, w in widgets:
+        shown = value if value in states[id(w)] or (value is not None and r is ref and len(widgets) == 1) else "Off"
+        new = dict(w)
+        if states[id(w)] or len(widgets) == 1:
+            new["AS"] = Name(shown)
+        if r is ref:
+            new["V"] = None if value is None else Name(value)
+        if isinstance(r, Ref):
+            changes[r.num] = new
+    return changes
+
+
+def _filled(data: bytes, doc: Document, changes: dict[int, object]) -> bytes:
+    """The file with changed fields, whose looks readers draw anew."""
+    root = doc.resolve(doc.trailer["Root"])
+    form = root.get("AcroForm")
+    fresh = {**(doc.resolve(form) or {}), "NeedAppearances": True}
+    if isinstance(form, Ref):
+        changes[form.num] = fresh
+    else:
+        changes[doc.trailer["Root"].num] = {**root, "AcroForm": fresh}
+    return updated(data, changes)
+
+
+def fill(data: bytes, values: dict[str, str | bool]) -> bytes:
+    """The file with form fields set by an appended update: texts (cut to their longest), choices by display or export
+    value, boxes and radio buttons by state or truth.  Unknown and read-only fields are refused."""
+    doc, fields = _opened(data)
     changes: dict[int, object] = {}
     for name, value in values.items():
-        if name not in fields:
-            raise FormatError(f"no field {name!r}")
-        ref, node, own = fields[name]
-        kind, flags = str(doc.resolve(own.get("FT")) or ""), int(doc.resolve(own.get("Ff")) or 0)
-        if flags & 1:
-            raise FormatError(f"field {name!r} is read-only")
+        ref, node, own = _writable(doc, fields, name)
+        kind, flags = _shape(doc, own)
         if kind == "Tx":
             longest = doc.resolve(own.get("MaxLen"))
             text = str(value)[:longest] if longest else str(value)
             changes[ref.num] = {**node, "V": _text(text)}
         elif kind == "Ch":
-            options = []
-            for o in doc.resolve(own.get("Opt")) or []:
-                o = doc.resolve(o)
-                pair = (text_string(o[0]), text_string(o[1])) if isinstance(o, list) else (text_string(o), text_string(o))
-                options.append(pair)
-            export = next((a for a, b in options if value in (a, b)), None)
+            export = next((a for a, b in _options(doc, own) if value in (a, b)), None)
             if export is None and not (flags >> 17 & 1 and flags >> 18 & 1):
                 raise FormatError(f"field {name!r} has no option {value!r}")
             changes[ref.num] = {**node, "V": _text(export if export is not None else str(value))}
         elif kind == "Btn" and not flags >> 16 & 1:
-            widgets = [(ref, node), *((k, doc.resolve(k)) for k in doc.resolve(node.get("Kids")) or [])]
-            states = {id(w): [s for s in _states(doc, w) if s != "Off"] for _, w in widgets}
-            every = [s for _, w in widgets for s in states[id(w)]]
-            if isinstance(value, bool):
-                last = next((states[id(w)] for _, w in reversed(widgets) if states[id(w)]), ["Yes"])
-                value = last[0] if value else "Off"
-            elif value != "Off" and value not in every:
-                raise FormatError(f"field {name!r} has no state {value!r}")
-            for r, w in widgets:
-                shown = value if value in states[id(w)] or (r is ref and len(widgets) == 1) else "Off"
-                new = dict(w)
-                if states[id(w)] or len(widgets) == 1:
-                    new["AS"] = Name(shown)
-                if r is ref:
-                    new["V"] = Name(value)
-                if isinstance(r, Ref):
-                    changes[r.num] = new
+            changes |= _pressed(doc, name, ref, node, value)
         else:
             raise FormatError(f"field {name!r} cannot be filled")
-    root = doc.resolve(doc.trailer["Root"])
-    form = root.get("AcroForm")
-    fresh = {**(doc.resolve(form) or {}), "NeedAppearances": True}
-    if isinstance(form, Ref):
-        changes[form.num] = fresh
-    else:
-        changes[doc.trailer["Root"].num] = {**root, "AcroForm": fresh}
-    return updated(data, changes)
+    return _filled(data, doc, changes)
+
+
+def choose(data: bytes, name: str, wanted: list[str]) -> bytes:
+    """The file with the wanted options of a choice field selected, by display or export value, repeats once.  Several
+    need a list box that allows them, and are kept in the order of the options with their indices; one is a plain value,
+    none clears the field."""
+    doc, fields = _opened(data)
+    ref, node, own = _writable(doc, fields, name)
+    kind, flags = _shape(doc, own)
+    if kind != "Ch":
+        raise FormatError(f"field {name!r} has no choices")
+    if len(wanted) > 1 and (flags >> 17 & 1 or not flags >> 21 & 1):
+        raise FormatError(f"field {name!r} takes one option")
+    options = _options(doc, own)
+    picked: dict[str, int] = {}
+    for w in wanted:
+        at = next((i for i, pair in enumerate(options) if w in pair), None)
+        if at is None:
+            raise FormatError(f"field {name!r} has no option {w!r}")
+        picked.setdefault(options[at][0], at)
+    order = sorted(picked, key=lambda e: picked[e])
+    new = {**node, "V": None, "I": None}
+    if len(order) == 1:
+        new["V"] = _text(order[0])
+    elif order:
+        new["V"], new["I"] = [_text(e) for e in order], [picked[e] for e in order]
+    return _filled(data, doc, {ref.num: new})
+
+
+def reset(data: bytes, names: list[str] | None = None) -> bytes:
+    """The file with fields set to their defaults, and without a value where they have none.  Without names every field that
+    can be filled is reset and the others are passed by; a named field that is unknown, read-only or of another kind is
+    refused, as is a default of the wrong type."""
+    doc, fields = _opened(data)
+    changes: dict[int, object] = {}
+    for name in fields if names is None else names:
+        ref, node, own = _writable(doc, fields, name) if names is not None else fields[name]
+        kind, flags = _shape(doc, own)
+        if kind not in ("Tx", "Ch", "Btn") or (kind == "Btn" and flags >> 16 & 1) or flags & 1:
+            if names is not None:
+                raise FormatError(f"field {name!r} cannot be reset")
+            continue
+        default = doc.resolve(own.get("DV"))
+        default = [doc.resolve(x) for x in default] if isinstance(default, list) else default
+        if kind == "Btn":
+            if default is not None and not isinstance(default, Name):
+                raise FormatError(f"the default of field {name!r} is not a state")
+            changes |= _pressed(doc, name, ref, node, None if default is None else str(default))
+            continue
+        several = default if kind == "Ch" and isinstance(default, list) else [] if default is None else [default]
+        if not all(isinstance(x, bytes) for x in several):
+            raise FormatError(f"the default of field {name!r} is not a text")
+        new = {**node, "V": default}
+        if kind == "Ch":
+            exports = [e for e, _ in _options(doc, own)]
+            at = sorted({exports.index(text_string(x)) for x in several if text_string(x) in exports})
+            new["I"] = at if isinstance(default, list) and at else None
+        changes[ref.num] = new
+    return _filled(data, doc, changes)
 
 
 def _states(doc: Document, widget: dict) -> list[str]:

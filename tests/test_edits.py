@@ -43,6 +43,38 @@ def test_forms_are_filled():
             edits.fill(form(), bad)
 
 
+def choices() -> bytes:
+    return sink.build({
+        1: {"Type": name("Catalog"), "Pages": ref(2, 0), "AcroForm": {"Fields": [ref(k, 0) for k in range(4, 10)]}}, 2: {"Type": name("Pages"), "Kids": [ref(3, 0)], "Count": 1}, 3: {"Type": name("Page"), "Parent": ref(2, 0)},
+        4: {"T": b"many", "FT": name("Ch"), "Ff": 1 << 21, "Opt": [[b"k", b"kiwi"], b"fig", [b"p", b"plum"]], "DV": [b"p", b"fig"]}, 5: {"T": b"one", "FT": name("Ch"), "Ff": 1 << 17, "Opt": [b"x", b"y"]},
+        6: {"T": b"note", "FT": name("Tx"), "V": b"now", "DV": b"then"}, 7: {"T": b"tick", "FT": name("Btn"), "V": name("Yes"), "AP": {"N": {"Yes": None, "Off": None}}},
+        8: {"T": b"shut", "FT": name("Tx"), "Ff": 1, "V": b"kept", "DV": b"other"}, 9: {"T": b"bad", "FT": name("Btn"), "Ff": 1 << 16},
+    }, {"Root": ref(1, 0)})
+
+
+def test_choices_are_selected():
+    node = lambda data, k: cos.Document.open(data).resolve(ref(k, 0))
+    done = node(edits.choose(choices(), "many", ["plum", "k", "p"]), 4)
+    assert (done["V"], done["I"]) == ([b"k", b"p"], [0, 2])
+    done = node(edits.choose(choices(), "many", ["fig"]), 4)
+    assert done["V"] == b"fig" and done.get("I") is None and node(edits.choose(choices(), "many", []), 4).get("V") is None
+    for field, wanted in (("many", ["pear"]), ("one", ["x", "y"]), ("note", ["x"]), ("nope", []), ("shut", [])):
+        with pytest.raises(FormatError):
+            edits.choose(choices(), field, wanted)
+
+
+def test_fields_are_reset():
+    data = edits.choose(edits.fill(choices(), {"one": "y"}), "many", ["kiwi"])
+    done = cos.Document.open(edits.reset(data))
+    node = lambda k: done.resolve(ref(k, 0))
+    assert (node(4)["V"], node(4)["I"]) == ([b"p", b"fig"], [1, 2]) and node(5).get("V") is None and node(6)["V"] == b"then"
+    assert node(7).get("V") is None and str(node(7)["AS"]) == "Off" and node(8)["V"] == b"kept"
+    assert cos.Document.open(edits.reset(data, ["note"])).resolve(ref(5, 0))["V"] == b"y"
+    for named in ("shut", "bad", "nope"):
+        with pytest.raises(FormatError):
+            edits.reset(data, [named])
+
+
 def test_attachments_are_embedded():
     data = edits.attach(form(), [("z.txt", b"zz", "last"), ("ä.json", b"{}", "")])
     assert [(a[2], a[4], a[6]) for a in pdf.parse(data)["attachments"]] == [("z.txt", "text/plain", b"zz"), ("ä.json", "application/json", b"{}")]

@@ -52,6 +52,15 @@ def test_flat_text_keeps_empty_paragraphs(spark):
     assert view("accept") == "a\n\nb" and view("reject") == "ax\ny\n"
 
 
+def test_headers_of_a_section(spark):
+    sections = spark.createDataFrame([("a", 0, {"default": "h1"}), ("a", 1, {"first": "h2", "default": "h1"}), ("b", 0, {})], "path string, section_idx int, headers map<string,string>")
+    content = spark.createDataFrame([("a", "h1", "one"), ("a", "h2", "two"), ("b", "h1", "else")], "path string, part string, text string")
+    got = lambda *args: sorted((r["kind"], r["text"]) for r in documents.side_blocks(sections, content, "headers", *args).collect())
+    assert got() == [("default", "one"), ("first", "two")] and got(-1, "first") == [("first", "two")] and got(0) == [("default", "one")]
+    with pytest.raises(Exception, match="no section 1 in b"):
+        got(1)
+
+
 def test_first_to_max_and_labels(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate((10, 12, 12, 10))], "i int, s int")
     assert documents.first_to_max(df.withColumn("k", F.lit(1)), ["k"], "s", "i", "b").first()["b"] == 12
