@@ -1,7 +1,8 @@
 """Cell references and cell types as column expressions.
 
 Columns are A to XFD (1 to 16384), rows 1 to 1048576.  Names are upper case; ``$`` marks are ignored; a row with a leading
-zero, or anything out of range, is an error, which here is a null (``strict`` raises instead).
+zero, or anything out of range, is an error, which here is a null (``strict`` raises instead).  Rows of tables that are no
+sheets may go on beyond a sheet's last: ``max_row=None`` names them all, up to 18 digits.
 """
 
 from __future__ import annotations
@@ -31,18 +32,18 @@ def column_number(name: Column) -> Column:
     return F.when(name.rlike("^[A-Z]{1,3}$") & (value <= MAX_COLUMN), value)
 
 
-def split_cell(ref: Column) -> Column:
+def split_cell(ref: Column, max_row: int | None = MAX_ROW) -> Column:
     """struct(col, row) of a reference such as ``$B$7``; null if it is malformed."""
     bare = F.translate(ref, "$", "")
     col = column_number(F.regexp_extract(bare, r"^([A-Z]{1,3})[1-9][0-9]*$", 1))
-    row = F.regexp_extract(bare, r"^[A-Z]{1,3}([1-9][0-9]{0,6})$", 1)
-    row = F.when(row != "", row.cast("int"))
-    return F.when(col.isNotNull() & (row <= MAX_ROW), F.struct(col.alias("col"), row.alias("row")))
+    row = F.regexp_extract(bare, r"^[A-Z]{1,3}([1-9][0-9]{0,%d})$" % (6 if max_row == MAX_ROW else 17), 1)
+    row = F.when(row != "", row.cast("int" if max_row == MAX_ROW else "long"))
+    return F.when(col.isNotNull() & (row.isNotNull() if max_row is None else row <= max_row), F.struct(col.alias("col"), row.alias("row")))
 
 
-def join_cell(col: Column, row: Column) -> Column:
+def join_cell(col: Column, row: Column, max_row: int | None = MAX_ROW) -> Column:
     """The reference of a column and row number; null out of range."""
-    return F.when(row.between(1, MAX_ROW), F.concat(column_name(col), row.cast("string")))
+    return F.when(row >= 1 if max_row is None else row.between(1, max_row), F.concat(column_name(col), row.cast("string")))
 
 
 def cell_type(tag: Column) -> Column:

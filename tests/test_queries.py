@@ -38,6 +38,22 @@ def test_cell_references(spark):
     assert [None if g is None else tuple(g) for g in got] == [(2, 7), (16384, 1048576), None, None, None, None]
 
 
+def lineitem_far(spark, folder):
+    """A copy of line items whose order keys go on beyond a sheet's last row, and a connection that reads it."""
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").limit(500)
+    far = [rows.withColumn("l_orderkey", (F.col("l_orderkey") % 10 + k).cast("long")) for k in (1, 1_048_570, 9_000_000, 5_000_000_000)]
+    far[0].union(far[1]).union(far[2]).union(far[3]).write.parquet(f"{folder}/lineitem.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+    return c
+
+
+def test_a1_from_rowcol_beyond_a_sheet(spark, tmp_path):
+    con = lineitem_far(spark, tmp_path)
+    got = catalog.QUERIES["a1_from_rowcol"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(catalog.ORACLES["a1_from_rowcol"]).fetchall()) and all(r["cell"] for r in got)
+
+
 def test_search_edges(spark):
     df = spark.createDataFrame([(1, "haha ha"), (2, "éhaé"), (3, ""), (4, None)], "k int, line_text string")
     got = search.search(df, "ha", "k").orderBy("k", "hit").collect()
