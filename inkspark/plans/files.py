@@ -20,8 +20,11 @@ from .text import read
 
 
 def as_files(rows: DataFrame, name: str, value: str, build: Callable[[object], bytes]) -> DataFrame:
-    """(path, content) with one file per row, built from ``value``."""
-    ship(rows.sparkSession)
+    """(path, content) with one file per row, built from ``value``.
+
+    The rows are dealt out by name first: a table in few splits would leave most cores idle, and files are work for Python."""
+    spark = ship(rows.sparkSession)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -29,7 +32,7 @@ def as_files(rows: DataFrame, name: str, value: str, build: Callable[[object], b
                 part = batch.slice(k, 64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([build(v) for v in part.column(1).to_pylist()], pa.binary())], ["path", "content"])
 
-    return rows.select(F.col(name).cast("string").alias("path"), F.col(value)).mapInArrow(run, "path string, content binary")
+    return rows.select(F.col(name).cast("string").alias("path"), F.col(value)).repartition(parts, "path").mapInArrow(run, "path string, content binary")
 
 
 def _zip(text: str | None) -> bytes:
