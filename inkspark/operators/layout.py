@@ -1,17 +1,19 @@
 """Layout of text runs: lines, blocks, kinds of blocks, tables.
 
-Lines and tables are folds over the runs of one page (:func:`fold_lines`, :func:`find_tables`), which run per page in
-Arrow groups; a page's runs are bounded by its size.  Kinds are column expressions.
+Lines and tables are folds over the runs of one page (:func:`fold_lines`, :func:`find_tables`), which run page after
+page over sorted rows; a page's runs are bounded by its size.  Kinds are column expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import ship
 
@@ -32,7 +34,7 @@ def block_kind(text: Column, size: Column, body: Column) -> Column:
     )
 
 
-@dataclass
+@dataclass(slots=True)
 class Run:
     text: str
     x: float
@@ -42,7 +44,7 @@ class Run:
     vert: bool = False
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
     runs: list[Run]
     x: float
@@ -260,43 +262,70 @@ def find_tables(lines: Sequence[Line]) -> list[Table]:
 
 
 _RUN_COLUMNS = ("text", "x", "y", "size", "w", "vert")
+_MEASURES = ("x", "y", "size", "w")
+
 
+def _by_page(runs: DataFrame, fold: Callable[[list[Run]], list[tuple]], schema: str) -> DataFrame:
+    """Rows (path, page, ...) that ``fold`` makes of each page's runs in order.
 
-def _runs(frame: pd.DataFrame) -> list[Run]:
-    return [Run(*r) for r in frame.sort_values("run_idx")[list(_RUN_COLUMNS)].itertuples(index=False)]
+    Rows come sorted by page, so one pass folds page after page, and a batch holds many of them: pages may be as small as a
+    line.  Only the runs of one page are held."""
+    ship(runs.sparkSession)
+    target = to_arrow_schema(StructType.fromDDL("path string, page int, " + schema))
+
+    def fold_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        page, held = None, []
+        for batch in batches:
+            columns = [batch.column(k) for k in range(batch.num_columns)]
+            keys = zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True)
+            # a missing measure is NaN, which is near nothing
+            values = [c.to_numpy(zero_copy_only=False).tolist() if pa.types.is_floating(c.type) else c.to_pylist() for c in columns[2:]]
+            for key, run in zip(keys, map(Run, *values), strict=True):
+                if key != page and held:
+                    out += [(*page, *row) for row in fold(held)]
+                    held = []
+                    if len(out) >= 4096:
+                        yield _batch(out, target)
+                        out = []
+                page = key
+                held.append(run)
+        if held:
+            out += [(*page, *row) for row in fold(held)]
+        if out:
+            yield _batch(out, target)
+
+    columns = [F.col(c).cast("double").alias(c) if c in _MEASURES else F.col(c) for c in _RUN_COLUMNS]
+    ordered = runs.select(F.col("path").cast("string").alias("path"), F.col("page").cast("int").alias("page"), "run_idx", *columns).repartition("path", "page").sortWithinPartitions("path", "page", "run_idx")
+    return ordered.select("path", "page", *_RUN_COLUMNS).mapInArrow(fold_all, StructType.fromDDL("path string, page int, " + schema))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def lines_of(runs: DataFrame) -> DataFrame:
     """(path, page, line, block, text, x, y, size, vert) of ``pdf_runs``, page by page, and ``x_end``, ``y_low`` and ``y_high``: the
     greatest x and the range of y at which runs of the line begin."""
-    ship(runs.sparkSession)
-    names = ["path", "page", "line", "block", "text", "x", "y", "size", "vert", "x_end", "y_low", "y_high"]
 
-    def page(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows, n = [], 0
-        for b, block in enumerate(fold_blocks(fold_lines(_runs(frame)))):
+    def page(held: list[Run]) -> list[tuple]:
+        rows = []
+        for b, block in enumerate(fold_blocks(fold_lines(held))):
             for line in block.lines:
                 ys = [r.y for r in line.runs]
-                rows.append((key[0], key[1], n, b, line.text, line.x, line.y, line.size, line.vert, max(r.x for r in line.runs), min(ys), max(ys)))
-                n += 1
-        return pd.DataFrame(rows, columns=names)
+                rows.append((len(rows), b, line.text, line.x, line.y, line.size, line.vert, max(r.x for r in line.runs), min(ys), max(ys)))
+        return rows
 
-    schema = "path string, page int, line int, block int, text string, x double, y double, size double, vert boolean, x_end double, y_low double, y_high double"
-    return runs.groupBy("path", "page").applyInPandas(page, schema)
+    return _by_page(runs, page, "line int, block int, text string, x double, y double, size double, vert boolean, x_end double, y_low double, y_high double")
 
 
 def tables_of(runs: DataFrame) -> DataFrame:
     """(path, page, idx, headers, rows, members, x, y, w, h) of the tables on each page; ``members`` are the lines they take."""
-    ship(runs.sparkSession)
-    names = ["path", "page", "idx", "headers", "rows", "members", "x", "y", "w", "h"]
 
-    def page(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        found = find_tables(fold_lines(_runs(frame)))
-        rows = [(key[0], key[1], k, t.headers, t.rows, sorted(t.members), t.x, t.y, t.w, t.h) for k, t in enumerate(found)]
-        return pd.DataFrame(rows, columns=names)
+    def page(held: list[Run]) -> list[tuple]:
+        return [(k, t.headers, t.rows, sorted(t.members), t.x, t.y, t.w, t.h) for k, t in enumerate(find_tables(fold_lines(held)))]
 
-    schema = "path string, page int, idx int, headers array<string>, rows array<array<string>>, members array<int>, x double, y double, w double, h double"
-    return runs.groupBy("path", "page").applyInPandas(page, schema)
+    return _by_page(runs, page, "idx int, headers array<string>, rows array<array<string>>, members array<int>, x double, y double, w double, h double")
 
 
 def sheet_of(lines: DataFrame, tables: DataFrame | None = None) -> DataFrame:

@@ -272,3 +272,22 @@ def test_missing_fonts_do_not_lend_their_names():
     }
     runs = pdf.parse(pdf_sink.build(objects, {"Root": Ref(1, 0)}))["runs"]
     assert [(r[2], r[6]) for r in runs] == [(t, "One") for t in ("a", "b", "c", "(x", "J@", "d", "e", "f", "g")]
+
+
+def test_small_pages_share_batches(spark):
+    rows = [(f"f{k % 97}", k % 5, k // 485, f"t{k}", float(k * 37 % 200), 700.0 - k * 13 % 60, 12.0, 20.0, False) for k in range(5000)]
+    rows += [(None, 0, 1, "b", 50.0, 5.0, 12.0, 20.0, False), (None, 0, 0, "a", 1.0, 5.0, 12.0, 20.0, False)]
+    df = spark.createDataFrame(rows[::-1], "path string, page int, run_idx int, text string, x double, y double, size double, w double, vert boolean")
+    found = layout.lines_of(df)
+    for d in (found, layout.tables_of(df)):  # a call of Python per page took a millisecond and more
+        assert "InPandas" not in d._jdf.queryExecution().toString()
+    want = []
+    for path, page in {r[:2] for r in rows}:
+        runs = [layout.Run(*r[3:]) for r in sorted((r for r in rows if r[:2] == (path, page)), key=lambda r: r[2])]
+        n = 0
+        for b, block in enumerate(layout.fold_blocks(layout.fold_lines(runs))):
+            for line in block.lines:
+                want.append((path, page, n, b, line.text, line.x, line.y))
+                n += 1
+    got = [tuple(r) for r in found.select("path", "page", "line", "block", "text", "x", "y").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and (None, 0, 0, 0, "a b", 1.0, 5.0) in got
