@@ -104,6 +104,31 @@ def test_as_of(spark):
     assert ranges.as_of(points, starts.limit(0), "p", "start", "ord", ["name"]).filter("name IS NULL").count() == 9
 
 
+def test_as_of_where_points_crowd(spark, monkeypatch):
+    from inkspark.operators import ranges
+
+    monkeypatch.setattr(ranges, "PART_ROWS", 40)
+    begins = sorted({*range(0, 300, 3), 290, 10**12, -7})
+    starts = spark.createDataFrame([(k, b, f"s{b}") for k, b in enumerate(begins)], "ord int, start long, name string")
+    at = [*range(-20, 20), *range(1000, 1400), 10**12, 10**15, None, -7]
+    points = spark.createDataFrame([(k,) for k in at], "p long")
+    name = lambda p: None if p is None else next((f"s{b}" for b in reversed(begins) if b <= p), None)
+    for parts in (8, 1, 200):
+        found = ranges.as_of(points, starts, "p", "start", "ord", ["name"], parts=parts)
+        assert sorted(map(repr, map(tuple, found.collect()))) == sorted(repr((p, name(p))) for p in at)
+    tree = catalog.QUERIES["label_asof"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in tree and "hashpartitioning(o_orderkey" not in tree  # few starts: orders stay where they lie
+
+
+def test_parts_are_counted(spark):
+    from inkspark.operators.ranges import _part
+
+    for n in (0, 1, 2, 3, 10, 17):
+        cuts = [k * k - 5 for k in range(n)]
+        got = spark.range(-8, 300).select("id", _part(F.col("id"), cuts).alias("p")).collect()
+        assert [r["p"] for r in got] == [sum(c <= r["id"] for c in cuts) for r in got]
+
+
 def test_entry():
     import __spark_entry__ as e
 
