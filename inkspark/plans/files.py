@@ -76,10 +76,8 @@ def zip_entries(spark: SparkSession, d: str) -> DataFrame:
 def docx_flat_text(spark: SparkSession, d: str) -> DataFrame:
     """Every document as a word-processing file and its flat text."""
     files = as_files(read(spark, d, "documents"), "doc_id", "text", _docx)
-    runs = readers.parse_rows(files, "docx", "runs")
-    paragraphs = readers.parse_rows(files, "docx", "paragraphs").select("path", "block_path")
-    every = paragraphs.join(runs.select("path", "block_path", "run_idx", "kid_kind", "text", "del_text"), ["path", "block_path"], "left")
-    every = every.withColumn("kid_kind", F.coalesce("kid_kind", F.lit("run")))
+    runs = readers.parse_rows(files, "docx", "paragraph_runs").filter(F.col("part") == "word/document.xml")
+    every = runs.select("path", "block_path", "run_idx", "kid_kind", "text", "del_text").repartition("path")  # serves both sums of the text
     flat = D.flat_text(every, ["path"], ["block_path"], ["run_idx"], "kid_kind", "text", "del_text")
     return flat.select(F.col("path").cast("long").alias("doc_id"), _md5(F.col("text")).alias("md5"))
 
